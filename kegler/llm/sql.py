@@ -1,5 +1,37 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from __future__ import annotations
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP9 = rf"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), il AS (
+  SELECT item_id, ws, least(10, len(ws)) AS n FROM iw WHERE len(ws) > 0
+), win AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[p:p + n - 1], ' ') AS w
+  FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM il)
+), lens AS (
+  SELECT DISTINCT n FROM win
+), dwin AS (
+  SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM dw, lens WHERE len(ws) >= n)
+), hit AS (
+  SELECT doc_id, p, dwin.n AS n, item_id FROM dwin JOIN win ON dwin.w = win.w AND dwin.n = win.n
+), words AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM hit)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT dw.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": OP9}
