@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kegler.llm import bpe, decontaminate, sharding, sstable
+from kegler.llm import bpe, decontaminate, quality, sharding, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests_only=True)
 
 
+def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents")).drop("distance")
+
+
 def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_sstable_shards, op4_byte_bpe, op7_uniform_shards, op9_decontamination]
+    named = [op1_sstable_shards, op4_byte_bpe, op5_quality_outliers, op7_uniform_shards, op9_decontamination]
     return {f.__name__: f for f in named}
 
 

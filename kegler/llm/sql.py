@@ -33,5 +33,78 @@ FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN items ON dw.doc_id
 """
 
 
+_SPACE = r"[\x20\x09-\x0D]"
+
+
+def op5() -> str:
+    """Base counts and the concentration steps of ``quality``, one after the other."""
+    from kegler.llm import quality as q
+
+    f = [(x / q.UNIT) ** 2 for x in q.FLOORS]
+    d = [f"((x{k} - m{k}) / CAST({q.UNIT} AS DOUBLE))" for k in (1, 2, 3)]
+    s11, s22, s33 = (f"(s{k}{k} + CAST({f[k - 1]!r} AS DOUBLE))" for k in (1, 2, 3))
+    i11, i22, i33 = f"({s22} * {s33} - s23 * s23)", f"({s11} * {s33} - s13 * s13)", f"({s11} * {s22} - s12 * s12)"
+    i12, i13, i23 = f"(s13 * s23 - s12 * {s33})", f"(s12 * s23 - s13 * {s22})", f"(s12 * s13 - {s11} * s23)"
+    det = f"({s11} * {i11} + s12 * {i12} + s13 * {i13})"
+    a, b, c = d
+    two = "CAST(2 AS DOUBLE)"
+    distance = f"(({a} * {a} * {i11} + {b} * {b} * {i22} + {c} * {c} * {i33} + {two} * ({a} * {b} * {i12} + {a} * {c} * {i13} + {b} * {c} * {i23})) / {det})"
+    join = "ON r.lang IS NOT DISTINCT FROM e.lang AND r.source IS NOT DISTINCT FROM e.source"
+    share = lambda x, of: f"ln(CAST(1 AS DOUBLE) + CAST(100 AS DOUBLE) * {x} / {of})"
+    unit = lambda x: f"CAST(floor({x} * {q.UNIT} + CAST(0.5 AS DOUBLE)) AS BIGINT)"
+    pairs = [(x, y) for x in (1, 2, 3) for y in range(x, 4)]
+    out = rf"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), tri AS (
+  SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n
+  FROM (SELECT doc_id, p, array_to_string(ws[p:p + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w))
+), rep AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM tri WHERE n > 1) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w
+), c AS (
+  SELECT w.doc_id AS doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '{_SPACE}', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w JOIN lines ON w.doc_id = lines.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id
+), b AS (
+  SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+         {unit("ln(CAST(greatest(word_chars, 1) AS DOUBLE) / greatest(n_words, 1))")} AS x1,
+         {unit(share("n_symbols", "greatest(word_chars, 1)"))} AS x2, {unit(share("n_repeat_words", "greatest(n_words, 1)"))} AS x3
+  FROM c
+), r AS (
+  SELECT * FROM b WHERE NOT base_failed
+), med AS (
+  SELECT lang, source, k, min(v) AS v FROM (
+    SELECT lang, source, k, v, sum(n) OVER (PARTITION BY lang, source, k ORDER BY v) AS upto, sum(n) OVER (PARTITION BY lang, source, k) AS total
+    FROM (SELECT lang, source, e.k AS k, e.v AS v, count(*) AS n FROM (SELECT lang, source, unnest([{", ".join(f"{{'k': {k}, 'v': x{k}}}" for k in (1, 2, 3))}]) AS e FROM r) GROUP BY ALL)
+  ) WHERE upto >= CAST(0.5 AS DOUBLE) * total GROUP BY lang, source, k
+), e0 AS (
+  SELECT lang, source, {", ".join(f"CAST(max(CASE WHEN k = {k} THEN v END) AS DOUBLE) AS m{k}" for k in (1, 2, 3))}, {", ".join(f"CAST(0 AS DOUBLE) AS s{x}{y}" for x, y in pairs)}
+  FROM med GROUP BY lang, source
+)"""
+    for k in range(q.STEPS):
+        out += f""", near{k} AS (
+  SELECT r.lang AS lang, r.source AS source, x1, x2, x3, CAST(floor(ln(CAST(1 AS DOUBLE) + {distance}) * {q.BINS}) AS BIGINT) AS v FROM r JOIN e{k} AS e {join}
+), cut{k} AS (
+  SELECT lang, source, min(v) AS cut FROM (
+    SELECT lang, source, v, sum(n) OVER (PARTITION BY lang, source ORDER BY v) AS upto, sum(n) OVER (PARTITION BY lang, source) AS total
+    FROM (SELECT lang, source, v, count(*) AS n FROM near{k} GROUP BY ALL)
+  ) WHERE upto >= CAST({q.KEPT} AS DOUBLE) * total GROUP BY lang, source
+), e{k + 1} AS (
+  SELECT lang, source, {", ".join(f"CAST(t{x} AS DOUBLE) / n AS m{x}" for x in (1, 2, 3))},
+         {", ".join(f"CAST(CAST(n AS HUGEINT) * t{x}{y} - t{x} * t{y} AS DOUBLE) / (CAST(n AS DOUBLE) * n) / CAST({q.UNIT * q.UNIT} AS DOUBLE) * CAST({q.CONSISTENCY} AS DOUBLE) AS s{x}{y}" for x, y in pairs)}
+  FROM (SELECT r.lang AS lang, r.source AS source, count(*) AS n, {", ".join(f"sum(x{x}) AS t{x}" for x in (1, 2, 3))}, {", ".join(f"sum(x{x} * x{y}) AS t{x}{y}" for x, y in pairs)}
+        FROM near{k} AS r JOIN cut{k} AS e {join} WHERE v <= cut GROUP BY r.lang, r.source)
+)"""
+    return out + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce({distance} <= CAST({q.CUTOFF} AS DOUBLE), false) AS kept
+FROM b AS r LEFT JOIN e{q.STEPS} AS e {join}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9}
+    return {"op5_quality_outliers": op5(), "op9_decontamination": OP9}
