@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kegler.llm import bpe, decontaminate, quality, sharding, sstable
+from kegler.llm import bpe, decontaminate, ngram_join, quality, sharding, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,16 @@ def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_sstable_shards, op4_byte_bpe, op5_quality_outliers, op7_uniform_shards, op9_decontamination]
+    named = [op1_sstable_shards, op4_byte_bpe, op5_quality_outliers, op7_uniform_shards, op8_ngram_jaccard, op9_decontamination]
     return {f.__name__: f for f in named}
 
 
