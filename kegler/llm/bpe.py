@@ -74,6 +74,7 @@ class MergeReplay:
         for at in range(n):
             if right[at] < n:
                 index.setdefault((token[at], token[right[at]]), []).append(at)
+        merged = self._merged
         queue = [(r, pair) for pair in index if (r := self.merged(pair)) >= 0]
         heapq.heapify(queue)
         while queue:
@@ -91,45 +92,51 @@ class MergeReplay:
                 after, before = right[nxt], left[at]
                 token[at], token[nxt] = rank, -1
                 right[at] = after
+                touched = []
                 if after < n:
                     left[after] = at
-                    self._meet(index, queue, (rank, token[after]), at)
+                    touched.append(((rank, token[after]), at))
                 if before >= 0:
-                    self._meet(index, queue, (token[before], rank), before)
+                    touched.append(((token[before], rank), before))
+                for near, place in touched:
+                    there = index.get(near)
+                    if there is not None:
+                        there.append(place)
+                        continue
+                    r = merged.get(near)
+                    if r is None:
+                        r = self.merged(near)
+                    if r >= 0:
+                        index[near] = [place]
+                        heapq.heappush(queue, (r, near))
         for k, a, b in zip(open_, begin, begin[1:], strict=False):
             out[k] = [t for t in token[a:b] if t >= 0]
         return out
 
-    def _meet(self, index: dict, queue: list, pair: tuple[int, int], at: int) -> None:
-        places = index.get(pair)
-        if places is not None:
-            places.append(at)
-        elif (rank := self.merged(pair)) >= 0:
-            index[pair] = [at]
-            heapq.heappush(queue, (rank, pair))
-
 
 class Codec:
     """Encodes and decodes whole texts by a rank file and the pattern that cuts texts into pieces."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, max_pieces: int = 800_000):
         import regex
 
         self.pattern, self.replay = regex.compile(pattern), MergeReplay(tokens)
-        self.vocabulary = ChunkVocabulary(self._chunks)
+        self.pieces: dict[str, list[int]] = {}
+        self.max_pieces = max_pieces  # beyond, the store starts anew: bounds memory, changes no result
+        self.vocabulary = ChunkVocabulary(self._chunks, max_chunks=600_000)
         self.lens = np.array([len(t) for t in tokens], np.int64)
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
         self.begins = np.cumsum(self.lens) - self.lens
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.pieces) > self.max_pieces:
+            self.pieces.clear()
+        known = self.pieces
         cut = [self.pattern.findall(c) for c in chunks]
-        known: dict[str, int] = {}
-        for pieces in cut:
-            for p in pieces:
-                known.setdefault(p, len(known))
-        ids = self.replay.encode([p.encode() for p in known])
-        counts = np.array([sum(len(ids[known[p]]) for p in pieces) for pieces in cut], np.int64)
-        return np.array([t for pieces in cut for p in pieces for t in ids[known[p]]], np.int32), counts
+        new = list({p for pieces in cut for p in pieces if p not in known})
+        known.update(zip(new, self.replay.encode([p.encode() for p in new]), strict=True))
+        rows = [known[pieces[0]] if len(pieces) == 1 else [t for p in pieces for t in known[p]] for pieces in cut]
+        return np.array([t for row in rows for t in row], np.int32), np.array(list(map(len, rows)), np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.vocabulary.encode(texts)
