@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kegler.llm import bpe, decontaminate, ngram_join, quality, sharding, sstable
+from kegler.llm import bpe, decontaminate, ngram_join, pii, quality, sharding, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_sstable_shards, op4_byte_bpe, op5_quality_outliers, op7_uniform_shards, op8_ngram_jaccard, op9_decontamination]
+    named = [op1_sstable_shards, op4_byte_bpe, op5_quality_outliers, op7_uniform_shards, op8_ngram_jaccard, op9_decontamination, op10_pii]
     return {f.__name__: f for f in named}
 
 
