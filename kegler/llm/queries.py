@@ -43,8 +43,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_sstable_shards, op4_byte_bpe, op5_quality_outliers, op7_uniform_shards, op8_ngram_jaccard, op9_decontamination, op10_pii]
+    named = [op1_sstable_shards, op4_byte_bpe, op5_quality_outliers, op7_uniform_shards, op8_ngram_jaccard, op9_decontamination, op10_pii, pipeline]
     return {f.__name__: f for f in named}
 
 

@@ -240,7 +240,7 @@ def library_chunks(tokenizer_json: str) -> ChunkVocabulary:
     bare = Tokenizer.from_str(tokenizer_json)
     bare.encode_special_tokens = True
     bare.pre_tokenizer = None
-    _ENCODERS[key] = ChunkVocabulary(encode)
+    _ENCODERS[key] = ChunkVocabulary(encode, max_chunks=1_000_000)
     return _ENCODERS[key]
 
 
