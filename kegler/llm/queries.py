@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kegler.llm import bpe, decontaminate, ngram_join, pii, quality, sharding, sstable
+from kegler.llm import bpe, chat, decontaminate, ngram_join, pii, quality, sharding, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,13 @@ def op1_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.scan_shards(manifest)
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
+    return chat.conversation_digest(turns.unionByName(extra))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests_only=True)
 
@@ -50,7 +58,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_sstable_shards, op4_byte_bpe, op5_quality_outliers, op7_uniform_shards, op8_ngram_jaccard, op9_decontamination, op10_pii, pipeline]
+    named = [op1_sstable_shards, op3_chat_formatting, op4_byte_bpe, op5_quality_outliers, op7_uniform_shards, op8_ngram_jaccard, op9_decontamination, op10_pii, pipeline]
     return {f.__name__: f for f in named}
 
 

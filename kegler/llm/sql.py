@@ -127,5 +127,23 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least ON w.doc_id = least.a
 """
 
 
+_ESCAPE = r"replace(replace(replace(replace({0}, '\', '\\'), '###', '\###'), '</turn>', '<\/turn>'), '<|', '<\|')"
+
+OP3 = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learned,
+         sum(length({_ESCAPE.format("text")}) + length(replace({_ESCAPE.format("role")}, ':', '\:')) + 14) AS formatted_chars
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(whole) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars,
+       sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_outliers": op5(), "op8_ngram_jaccard": OP8, "op9_decontamination": OP9}
+    return {"op3_chat_formatting": OP3, "op5_quality_outliers": op5(), "op8_ngram_jaccard": OP8, "op9_decontamination": OP9}
