@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kegler.llm import bpe, chat, decontaminate, html_extract, ngram_join, pii, quality, sharding, sstable
+from kegler.llm import bpe, chat, decontaminate, html_extract, licenses, ngram_join, pii, quality, sharding, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_sstable_shards, op2_html_extraction, op3_chat_formatting, op4_byte_bpe, op5_quality_outliers, op7_uniform_shards, op8_ngram_jaccard, op9_decontamination, op10_pii, pipeline]
+    named = [op1_sstable_shards, op2_html_extraction, op3_chat_formatting, op4_byte_bpe, op5_quality_outliers, op6_license_scan, op7_uniform_shards, op8_ngram_jaccard, op9_decontamination, op10_pii, pipeline]
     return {f.__name__: f for f in named}
 
 
