@@ -1 +1 @@
-"""See the package docstring and README."""
+"""Geometry and colour as column expressions."""

@@ -1 +1 @@
-"""See the package docstring and README."""
+"""Operators on detections, signals, shots, colours and manifests."""

@@ -1 +1 @@
-"""See the package docstring and README."""
+"""Operators put together: from detections or signals to shots and manifests."""

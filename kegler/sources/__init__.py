@@ -1 +1 @@
-"""See the package docstring and README."""
+"""Venue and target files, frames, clips and the adapters of media tools."""

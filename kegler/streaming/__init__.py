@@ -1 +1 @@
-"""See the package docstring and README."""
+"""Shots from a live stream of signals."""
