@@ -83,10 +83,11 @@ def uniform_shards(rows: DataFrame, n_shards: int = 16, seed: int = 0) -> DataFr
     Shard sizes differ by one at most. Rows are told apart by their place in the input, which is
     written down first, so that nulls, ties and rows repeated any number of times are just rows, and
     so that a task that runs again finds the same places. The result is fixed by the seed and the
-    input's partitions. An empty table stays empty. Pass narrow rows: they cross the network twice.
+    input's partitions. An empty table stays empty; columns named ``shard`` or ``slot`` are replaced.
+    Pass narrow rows: they cross the network twice.
     """
     spark = rows.sparkSession
-    names = rows.columns
+    names = [c for c in rows.columns if c not in ("shard", "slot")]
     placed = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.monotonically_increasing_id().alias("rid"))
     placed = materialize(placed.withColumn("part", F.pmod(F.shiftright("rid", 33), F.lit(MAX_PARTITIONS)).cast("int")), "shard-rows")
     counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
