@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bins of hue (0-179), saturation and value (0-255).
@@ -30,3 +31,27 @@ def hsv_bin(b: Column, g: Column, r: Column) -> Column:
     h, s, v = hsv(b, g, r)
     cut = lambda x, n, size: F.floor(x * n / size).cast("int")
     return (cut(h, H_BINS, 180) * S_BINS + cut(s, S_BINS, 256)) * V_BINS + cut(v, V_BINS, 256)
+
+
+def inverted(value: Column) -> Column:
+    return 255 - value
+
+
+def otsu_thresholds(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """The grey level of each image that splits its pixels best: keys, threshold.
+
+    Pixels up to the threshold are one class, others the other; the variance between the classes is
+    largest, the least level of ties. One class alone has the threshold 0. Sums run over 256 levels.
+    """
+    counts = pixels.groupBy(*keys, "gray").agg(F.count("*").alias("n"))
+    w = W.partitionBy(*keys).orderBy("gray").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy(*keys)
+    rows = counts.withColumns({
+        "low_n": F.sum("n").over(w), "low_sum": F.sum(F.col("n") * F.col("gray")).over(w),
+        "all_n": F.sum("n").over(whole), "all_sum": F.sum(F.col("n") * F.col("gray")).over(whole),
+    })
+    apart = (F.col("low_sum") * F.col("all_n") - F.col("low_n") * F.col("all_sum")).cast("double")
+    below = F.col("low_n") * (F.col("all_n") - F.col("low_n"))
+    score = F.when(below > 0, apart * apart / below).otherwise(F.lit(0.0))
+    best = F.max(F.struct(score.alias("score"), (-F.col("gray")).alias("level"))).alias("best")
+    return rows.groupBy(*keys).agg(best).select(*keys, F.when(F.col("best.score") > 0, -F.col("best.level")).otherwise(0).alias("threshold"))

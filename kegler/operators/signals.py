@@ -73,3 +73,9 @@ def build_signals(frames: DataFrame, scored: DataFrame, lanes: list[Lane], motio
     else:
         moved = moved.join(motion.select(*keys, "lane_name", "pin_motion"), [*keys, "lane_name"], "left")
     return moved.select("video_id", "lane_name", "lane_pos", "frame_index", F.col("confidence").alias("bowler_confidence"), "pose_motion", F.coalesce("pin_motion", F.lit(0.0)).alias("pin_motion"), F.lit(False).alias("ball_reached_pins"))
+
+
+def as_arrays(signals: DataFrame, partition: list[str], columns: list[str], order: str = "frame_index") -> DataFrame:
+    """The column-oriented form: one row per lane, an array per signal in frame order. A lane is one value."""
+    rows = signals.groupBy(*partition).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("_rows"))
+    return rows.select(*partition, F.size("_rows").alias("n"), *[F.col(f"_rows.{c}").alias(c) for c in columns])

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from kegler import fixtures as fx
 from kegler.config import SCALE_FACTORS, PersonParams
-from kegler.functions import geometry
+from kegler.functions import colour, geometry
 from kegler.operators import detections as det
-from kegler.operators import identity, manifest, overlay, search, segment, signals, target
+from kegler.operators import identity, manifest, overlay, report, search, segment, signals, target
 from kegler.sources import calibration
 
 PERSON = PersonParams()
@@ -305,5 +305,25 @@ def q_shot_segments_sql(spark, sf):
     return rows.groupBy("lane_name").agg(F.count("*").alias("n_candidates"), F.count_if("gutter_fallback").alias("n_gutter"), F.count_if("settled").alias("n_settled"))
 
 
+@query
+def q_run_metrics(spark, sf):
+    lanes = fx.signals(spark, sf)
+    return report.run_metrics(lanes, search.probe_hits(lanes, fx.PROBE[0], fx.PARAMS.confidence), segment.segment_shots(lanes, fx.PARAMS)).drop("video_id")
+
+
+@query
+def q_signal_arrays(spark, sf):
+    """Array form of the signals: length, the last five confidences in hundredths, frames with a hit."""
+    rows = signals.as_arrays(fx.signals(spark, sf), ["lane_name"], ["bowler_confidence", "pin_motion"])
+    tail = F.array_join(F.transform(F.slice("bowler_confidence", -5, 5), lambda x: F.round(x * 100).cast("int")), ",")
+    hits = F.size(F.filter("pin_motion", lambda x: x > fx.PARAMS.pin))
+    return rows.select("lane_name", "n", tail.alias("tail"), hits.alias("n_hits"))
+
+
+@query
+def q_otsu(spark, sf):
+    return colour.otsu_thresholds(fx.frame_pixels(spark, sf), ["frame_index"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)

@@ -10,7 +10,7 @@ from kegler import __main__ as cli
 from kegler import config
 from kegler import fixtures as fx
 from kegler.functions import colour, geometry
-from kegler.operators import detections, identity, manifest, overlay, signals, target
+from kegler.operators import detections, identity, manifest, overlay, report, signals, target
 from kegler.plans.extract import ExtractConfig, extract_shots, shots_of
 from kegler.sources import calibration, media
 
@@ -191,6 +191,21 @@ def test_media(spark, tmp_path):
     assert media.export_clips(clips, lambda row: open(row["file_name"], "w").close()) == 2 and (tmp_path / "o2").exists()
 
 
+def test_reports(spark):
+    shots = spark.createDataFrame([("v", 7, "left", 30, 120, 0.5, True)], "video_id string, shot_no int, lane_name string, start_frame long, end_frame long, bowler_confidence double, gutter_fallback boolean")
+    assert report.shot_lines(shots, 30.0).first()["line"] == "shot 07 left gutter frames 30-120, 3.00 s, confidence 0.500"
+    frames = spark.range(100).select(F.lit("v").alias("video_id"), F.col("id").alias("frame_index"))
+    assert report.progress(frames, 100).count() == 50 and report.progress(frames, 3).count() == 100
+    rows = spark.createDataFrame([("v", "a", 0, 0.1), ("w", "a", 0, 0.2)], "video_id string, lane_name string, frame_index long, bowler_confidence double")
+    none = shots.where("false")
+    got = report.run_metrics(rows, rows.where("false").select("video_id"), none).collect()
+    assert all(r["n_shots"] == r["n_probe_hits"] == r["frames_in_shots"] == 0 and r["n_signals"] == 1 for r in got)
+    own = signals.as_arrays(spark.createDataFrame([("a", 2, 0.3), ("a", 0, 0.1), ("a", 1, 0.2)], "lane_name string, frame_index long, c double"), ["lane_name"], ["c"])
+    assert [tuple(r) for r in own.collect()] == [("a", 3, [0.1, 0.2, 0.3])]
+    levels = spark.createDataFrame([(1, 10)] * 5 + [(1, 12)] * 4 + [(1, 200)] * 6 + [(2, 7)] * 3, "id int, gray int")
+    assert {r["id"]: r["threshold"] for r in colour.otsu_thresholds(levels, ["id"]).collect()} == {1: 12, 2: 0}
+
+
 def test_whole_plan(spark):
     """A person stands, moves and is followed by pin motion: one shot, by either strategy."""
     rng = random.Random(1)
@@ -250,5 +265,5 @@ def test_pandas_is_only_where_it_must_be(spark, sf):
 
     for name, f in queries.queries().items():
         plan = f(spark, sf)._jdf.queryExecution().executedPlan().toString()
-        if name not in ("q_ocr_fuzzy", "q_probe_shots", "q_linear_vs_probe", "q_shot_segments", "q_shot_summary", "q_clip_manifest", "q_reel_manifest", "q_lane_restricted", "q_format_sanity"):
+        if name not in ("q_ocr_fuzzy", "q_probe_shots", "q_linear_vs_probe", "q_shot_segments", "q_shot_summary", "q_clip_manifest", "q_reel_manifest", "q_lane_restricted", "q_format_sanity", "q_run_metrics"):
             assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan, name
