@@ -8,33 +8,46 @@ from pyspark.sql import functions as F
 
 from kegler.llm.storage import materialize
 
-#: Edges that a task contracts at once before they are shuffled.
+#: Edges that a task contracts at once, in memory. A graph that has come down to so many is finished by one task.
 CHUNK = 200_000
 
 
+def _stars(edges: list[tuple[list[int], list[int]]]) -> pa.RecordBatch:
+    """The components of some edges as edges (node, least node)."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for u, v in edges:
+        for a, b in zip(u, v, strict=True):
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                root[max(ra, rb)] = min(ra, rb)
+    rows = [(x, r) for x in list(root) if (r := find(x)) != x]
+    return pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in rows], pa.int64()), "v": pa.array([v for _, v in rows], pa.int64())})
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """Edges (u, v) replaced, task by task and chunk by chunk, by stars around the least node: the
     same components with at most one edge per node and chunk."""
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(k, CHUNK)
-                root: dict[int, int] = {}
-
-                def find(x):
-                    top = x
-                    while (up := root.setdefault(top, top)) != top:
-                        top = up
-                    while root[x] != top:
-                        root[x], x = top, root[x]
-                    return top
-
-                for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ra, rb = find(a), find(b)
-                    if ra != rb:
-                        root[max(ra, rb)] = min(ra, rb)
-                rows = [(x, r) for x in list(root) if (r := find(x)) != x]
-                yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in rows], pa.int64()), "v": pa.array([v for _, v in rows], pa.int64())})
+                if n + part.num_rows > CHUNK:
+                    yield _stars(held)
+                    held, n = [], 0
+                held.append((part.column(0).to_pylist(), part.column(1).to_pylist()))
+                n += part.num_rows
+        if held:
+            yield _stars(held)
 
     return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null").mapInArrow(run, "u long, v long")
 
@@ -61,6 +74,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(contract(edges).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-start")
     state = None
     for k in range(max_rounds):
+        if now.count() <= CHUNK:
+            # Few enough for one task: its stars are the components.
+            now = materialize(contract(now.coalesce(1)), "cc-end")
+            break
         now = materialize(_small_star(_large_star(now)), f"cc-{k}")
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if row == state:
