@@ -9,10 +9,10 @@ n // 3 + 1 non-empty parts of each, in any order that is the same for all. That
 whose shingles are all very common last. The number of parts is that of the size band; documents
 near the upper end of a band also take part in the next.
 
-Documents that agree in a part are candidates. Groups of candidates are compared in blocks of
-bounded size: a dense parity sketch of 1,024 bits, whose Hamming distance also bounds the symmetric
-difference from below, leaves few pairs, and those are verified with the whole sets. Pairs that are
-already connected need no verification, so a group of near copies costs about one per member.
+Documents that agree in a part are candidates if dense parity sketches, of as many bits as there are
+shingles, allow it, whose Hamming distance also bounds the symmetric difference from below; passages that documents share get
+no further. Groups of candidates are then verified with the whole sets, in blocks of bounded size.
+Pairs that are already connected need no look, so a group of near copies costs about one per member.
 Copies with equal sets are one class from the first pass on.
 """
 
@@ -35,13 +35,15 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Up to this set size each shingle is a part of its own.
 SMALL = 64
-#: Buckets of the shingle counts that tell common shingles; 4 MB a task, 128 kB once thresholded.
-BUCKETS = 1 << 20
+#: Buckets of the shingle counts that tell common shingles; 4 MB a task, 256 kB once thresholded.
+BUCKETS = 1 << 21
 SKETCH_BITS = 1024
 #: Bits of the filter that tells which documents are candidates: 1 MB. Beyond its use the join drops the rest.
 FILTER_BITS = 1 << 23
-#: Shingles that a block of a candidate group holds: 16 MB.
-BLOCK_SHINGLES = 1 << 21
+#: Members of a group with the same part that a block holds, and shingles of a group of candidates: 16 MB.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 4096, 1 << 21
+#: Classes that show the same part up to which all their pairs are written down.
+SMALL_GROUP = 16
 
 
 class Shingler:
@@ -89,7 +91,7 @@ def part_keys(shingles: np.ndarray, common: np.ndarray | None = None) -> list[np
     n = len(shingles)
     if n == 0:
         return []
-    hot = np.unpackbits(common)[(shingles >> np.uint64(44)).astype(np.int64)].astype(bool) if common is not None else np.zeros(n, bool)
+    hot = np.unpackbits(common)[_bucket(shingles)].astype(bool) if common is not None else np.zeros(n, bool)
     band = n.bit_length() - 1
     out = []
     for b in (band, band + 1) if 4 * n >= 3 << (band + 1) else (band,):
@@ -105,21 +107,40 @@ def part_keys(shingles: np.ndarray, common: np.ndarray | None = None) -> list[np
     return out
 
 
+def dense_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by bucket, at least as many buckets as shingles: the Hamming distance of
+    two sketches of one width is at most the symmetric difference."""
+    bits = max(SKETCH_BITS, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else SKETCH_BITS
+    return np.packbits(np.bincount((shingles >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, one a row, brought down to ``words`` words: the parities of the halves add up."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def _texts(batch: pa.RecordBatch, column: int):
     texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
     for a, b in slices(texts):
         yield a, b, texts
 
 
-def _reduced(frame: DataFrame, combine: str, kind: str, length: int) -> DataFrame:
-    """Arrays of ``length`` values, given in pieces (piece, data) by many tasks, combined piece by piece."""
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _reduced(frame: DataFrame, combine: str, kind: str, wide: str) -> DataFrame:
+    """Arrays that many tasks give in pieces (piece, data), combined piece by piece into a wider kind."""
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.frombuffer(data, kind)
                 if piece not in total:
-                    total[piece] = own.copy()
+                    total[piece] = own.astype(wide)
                 elif combine == "sum":
                     total[piece] += own
                 else:
@@ -139,27 +160,27 @@ def _pieces(values: np.ndarray):
 
 
 def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
-    """Bits by bucket (the upper 20 bits of a hash): whether far more documents have its shingles
-    than the average bucket's. Any choice gives the same links; this one keeps passages that many
+    """Bits by bucket (upper bits of a hash): whether far more documents have its shingles than the
+    average bucket's, beyond what chance spreads. Any choice gives the same links; this one keeps passages that many
     documents share from making candidates of all of them. Counts are of all documents."""
     def count(batches):
         shingler, total = Shingler(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for a, b, texts in _texts(batch, 0):
                 sets = [shingler(t) for t in texts[a:b]]
-                total += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
-        yield _pieces(np.minimum(total, (1 << 31) - 1).astype(np.uint32))
+                total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
+        yield _pieces(np.minimum(total, (1 << 16) - 1).astype(np.uint16))  # that many are common anyway
 
-    rows = _reduced(docs.select(text).mapInArrow(count, "piece int, data binary"), "sum", "u4", BUCKETS).collect()
-    counts = np.zeros((PIECES, BUCKETS // PIECES), np.uint32)
+    rows = _reduced(docs.select(text).mapInArrow(count, "piece int, data binary"), "sum", "u2", "u8").collect()
+    counts = np.zeros((PIECES, BUCKETS // PIECES), np.uint64)
     for r in rows:
-        counts[r["piece"]] = np.frombuffer(r["data"], np.uint32)
-    counts = counts.ravel()
-    return np.packbits(counts > 2 * counts.mean() + 50)
+        counts[r["piece"]] = np.frombuffer(r["data"], np.uint64)
+    mean = float(counts.mean())
+    return np.packbits(counts.ravel() > mean + 6 * mean**0.5 + 10)
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, class (null without words), n, keys of the parts shown. One row per document."""
+    """id, class (null without words), n, sketch, keys of the parts shown. One row per document."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text))
 
     def run(batches):
@@ -179,39 +200,147 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     "id": batch.column(0).slice(a, b - a),
                     "class": pa.array(classes, pa.int64()),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "sketch": pa.array([dense_sketch(s).tobytes() for s in sets], pa.binary()),
                     "keys": pa.array(keys, pa.list_(pa.int64())),
                 })
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, class long, n long, keys array<long>")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, class long, n long, sketch binary, keys array<long>")
 
 
-def candidate_edges(shown: DataFrame) -> DataFrame:
-    """Edges between classes that show the same part: each to the first of its group.
+def shared_parts(shown: DataFrame) -> DataFrame:
+    """What classes that show the same part make, as rows (key, u, v): of a part that up to
+    ``SMALL_GROUP`` classes show all pairs u, v with a null key, of others each class as u with a null v.
 
-    Groups stream through in order of key and class, so a group of any size needs no memory.
+    Rows stream through in order of key and class, so a group of any size needs no memory.
     """
     def run(batches):
-        key = first = last = None
+        big = None  # key and last class of a large group that has begun
+        held_k = held_c = np.empty(0, np.int64)
         for batch in batches:
-            if not batch.num_rows:
+            k, c = np.append(held_k, batch.column(0).to_numpy()), np.append(held_c, batch.column(1).to_numpy())
+            if not len(k):
                 continue
-            k = batch.column(0).to_numpy()
-            c = batch.column(1).to_numpy()
-            if key is None:
-                key, first = k[0], c[0]
-            begins = np.concatenate([[k[0] != key], k[1:] != k[:-1]])
-            heads = np.where(begins, np.arange(len(k)), -1)
-            at = np.maximum.accumulate(heads)
-            top = np.where(at >= 0, c[np.maximum(at, 0)], first)
-            keep = top != c
-            if keep.any():
-                yield pa.RecordBatch.from_pydict({"u": pa.array(c[keep], pa.int64()), "v": pa.array(top[keep], pa.int64())})
-            key, first = k[-1], top[-1]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+            k, c = k[new], c[new]
+            if big is not None:
+                upto = int(np.searchsorted(k != big[0], True)) if (k != big[0]).any() else len(k)
+                skip = int(upto > 0 and c[0] == big[1])
+                if upto > skip:
+                    yield _shown(k[skip:upto], c[skip:upto])
+                    big = (big[0], c[upto - 1])
+                k, c = k[upto:], c[upto:]
+                if not len(k):
+                    continue
+                big = None
+            last = int(np.searchsorted(k, k[-1])) if (np.diff(k) >= 0).all() else int(np.flatnonzero(k[1:] != k[:-1])[-1]) + 1
+            yield from _grouped(k[:last], c[:last])
+            held_k, held_c = k[last:], c[last:]
+            if len(held_k) > SMALL_GROUP:
+                yield _shown(held_k, held_c)
+                big, held_k, held_c = (held_k[-1], held_c[-1]), held_k[:0], held_c[:0]
+        yield from _grouped(held_k, held_c)
 
     n = int(shown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = shown.select(F.explode("keys").alias("key"), "class").repartition(n, "key").sortWithinPartitions("key", "class")
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(run, "key long, u long, v long")
+
+
+def _shown(keys: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "u": pa.array(classes, pa.int64()), "v": pa.nulls(len(keys), pa.int64())})
+
+
+def _grouped(keys: np.ndarray, classes: np.ndarray):
+    """Rows of ``shared_parts`` for whole groups."""
+    if len(keys) < 2:
+        return
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    group = np.cumsum(first) - 1
+    members = np.bincount(group)[group]
+    small = np.flatnonzero((members > 1) & (members <= SMALL_GROUP))
+    found = []
+    for shift in range(1, SMALL_GROUP):
+        a, b = small[:-shift], small[shift:]
+        same = group[a] == group[b]
+        if not same.any():
+            break
+        found.append(np.stack([classes[a[same]], classes[b[same]]], axis=1))
+    if found:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(pairs), pa.int64()), "u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
+    large = members > SMALL_GROUP
+    if large.any():
+        yield _shown(keys[large], classes[large])
+
+
+def _units(rows: DataFrame, group: str, blocks) -> DataFrame:
+    """Rows dealt to units (group, i, j) that bring every two rows of a group together: a group has
+    ``blocks`` blocks and a unit for each two of them; a group of one block is one unit."""
+    own = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(blocks)).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(n, group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def candidate_edges(table: DataFrame) -> DataFrame:
+    """Edges between classes that agree in a part and whose dense sketches are near enough.
+
+    table: class, n, sketch, keys. Pairs of small groups, each once, are tested one by one; a large
+    group gives a spanning forest of its near pairs.
+    """
+    shared = materialize(shared_parts(table.where("size(keys) > 0")), "ngram-shared")
+    known = materialize(table.groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "ngram-known")
+
+    def test(batches):
+        for batch in batches:
+            u, v, nu, nv = (batch.column(k).to_numpy() for k in range(4))
+            su, sv = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            widths = np.array([(len(x) // 8, len(y) // 8) for x, y in zip(su, sv, strict=True)]).reshape(-1, 2)
+            near = 3 * np.maximum(nu, nv) <= 4 * np.minimum(nu, nv)
+            for wide in np.unique(widths[near], axis=0).tolist():
+                at = np.flatnonzero(near & (widths == wide).all(axis=1))
+                a, b = (folded(np.frombuffer(b"".join(x[k] for k in at), np.uint64).reshape(len(at), -1), min(wide)) for x in (su, sv))
+                near[at] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (nu[at] + nv[at]) // 7
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u[near], pa.int64()), "v": pa.array(v[near], pa.int64())})
+
+    pairs = shared.where("key is null").select("u", "v").distinct()
+    pairs = pairs.join(known.select(F.col("class").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u")
+    pairs = pairs.join(known.select(F.col("class").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v")
+    tested = pairs.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(test, "u long, v long")
+
+    def forest(batches):
+        for unit, names, side, (n, sketch) in _groups(batches, 2):
+            own = [np.frombuffer(x, np.uint64) for x in sketch]
+            yield _edges(near_pairs(names, np.array(n), own, np.array(side) if unit[1] != unit[2] else None))
+
+    large = shared.where("key is not null").select("key", F.col("u").alias("class"))
+    sizes = large.groupBy("key").agg(F.count("*").alias("members"))
+    rows = large.join(known, "class").join(sizes, "key")
+    units = _units(rows, "key", F.col("members") / BLOCK_MEMBERS).select("key", "i", "j", "block", "class", "n", "sketch")
+    return tested.unionByName(units.mapInArrow(forest, "u long, v long"))
+
+
+def _groups(batches, n_values: int):
+    """(unit, names, sides, value columns) of rows unit, block, name, values that come in order of unit."""
+    unit, names, side, values = None, [], [], [[] for _ in range(n_values)]
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for key, i, j, block, name, *own in zip(*columns, strict=True):
+            if unit != (key, i, j):
+                if unit is not None:
+                    yield unit, names, side, values
+                unit, names, side, values = (key, i, j), [], [], [[] for _ in range(n_values)]
+            names.append(name)
+            side.append(int(block == j))
+            for column, v in zip(values, own, strict=True):
+                column.append(v)
+    if unit is not None:
+        yield unit, names, side, values
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
 def _id_bit(ids: pa.Array) -> np.ndarray:
@@ -227,7 +356,7 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
             bits[_id_bit(batch.column(0))] = True
         yield _pieces(np.packbits(bits))
 
-    rows = _reduced(ids.mapInArrow(run, "piece int, data binary"), "or", "u1", FILTER_BITS // 8).collect()
+    rows = _reduced(ids.mapInArrow(run, "piece int, data binary"), "or", "u1", "u1").collect()
     out = np.zeros((PIECES, FILTER_BITS // 8 // PIECES), np.uint8)
     for r in rows:
         out[r["piece"]] = np.frombuffer(r["data"], np.uint8)
@@ -250,67 +379,56 @@ def candidate_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> D
     return rows.join(wanted, "id")
 
 
-def link_block(names: list[int], sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what is connected: a spanning forest of the pairs with similarity 3/4.
+def near_pairs(names: list[int], sizes: np.ndarray, sketch: list[np.ndarray], side: np.ndarray | None = None, verify=None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that sizes and sketches allow, or, with ``verify(a, b)``, of those
+    that it confirms: pairs that are already connected aren't looked at.
 
-    side: 0 or 1 for each set; then only pairs of either side count.
+    side: 0 or 1 for each; then only pairs of either side count.
     """
-    order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), names[k]))
-    sizes = np.array([len(sets[k]) for k in order])
-    sketch = np.zeros((len(order), SKETCH_BITS // 8), np.uint8)
-    for row, k in enumerate(order):
-        sketch[row] = np.packbits(np.bincount((sets[k] >> np.uint64(7)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1)
-    sketch = sketch.view(np.uint64)
-    sides = np.zeros(len(order)) if side is None else side[order]
+    order = np.lexsort((np.array(names), sizes))
+    sizes = sizes[order]
+    # Widths grow with sizes: for each width, the sketches of that width and beyond, folded to it.
+    width = np.array([len(sketch[k]) for k in order])
+    begin = {w: int(np.searchsorted(width, w)) for w in np.unique(width).tolist()}
+    rows = {w: np.concatenate([folded(sketch[k][None, :], w) for k in order[at:]]) for w, at in begin.items()}
+    sides = None if side is None else side[order]
     label = np.arange(len(order))
-    links = []
-    for a in range(len(order)):
+    found = []
+    for a in range(len(order) - 1):
+        if len(found) == len(order) - 1:
+            break  # all are connected
         upto = int(np.searchsorted(sizes, sizes[a] * 4 // 3, "right"))
         near = a + 1 + np.flatnonzero(label[a + 1 : upto] != label[a])
-        if side is not None:
+        if sides is not None:
             near = near[sides[near] != sides[a]]
         if not len(near):
             continue
-        distance = np.bitwise_count(sketch[near] ^ sketch[a]).sum(axis=1)
+        w = int(width[a])
+        distance = np.bitwise_count(rows[w][near - begin[w]] ^ rows[w][a - begin[w]]).sum(axis=1, dtype=np.int64)
         for b in near[distance <= (sizes[near] + sizes[a]) // 7].tolist():
-            if label[b] == label[a]:
-                continue
-            both = len(np.intersect1d(sets[order[a]], sets[order[b]], assume_unique=True))
-            if DENOMINATOR * both >= NUMERATOR * (sizes[a] + sizes[b] - both):
-                links.append((names[order[a]], names[order[b]]))
+            if label[b] != label[a] and (verify is None or verify(order[a], order[b])):
+                found.append((names[order[a]], names[order[b]]))
                 label[label == label[b]] = label[a]
-    return links
+    return found
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
 def _links(members: DataFrame) -> DataFrame:
     """Verified links (u, v) between classes; members: comp, class, total (shingles of the group), shingles."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    units = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "shingles")
+    units = _units(members, "comp", F.col("total") / BLOCK_SHINGLES).select("comp", "i", "j", "block", "class", "shingles")
 
     def run(batches):
-        unit, names, sets, side = None, [], [], []
-
-        def done():
-            i, j = unit[1:]
-            found = link_block(names, sets, np.array(side) if i != j else None)
-            return pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
-
-        for batch in batches:
-            for comp, i, j, block, name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if unit != (comp, i, j):
-                    if unit is not None:
-                        yield done()
-                    unit, names, sets, side = (comp, i, j), [], [], []
-                names.append(name)
-                sets.append(np.frombuffer(data, np.uint64))
-                side.append(int(block == j))
-        if unit is not None:
-            yield done()
+        for unit, names, side, (data,) in _groups(batches, 1):
+            sets = [np.frombuffer(x, np.uint64) for x in data]
+            sketch = [dense_sketch(s).view(np.uint64) for s in sets]
+            sizes = np.array([len(s) for s in sets])
+            yield _edges(near_pairs(names, sizes, sketch, np.array(side) if unit[1] != unit[2] else None, lambda a, b: similar(sets[a], sets[b])))  # noqa: B023
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(run, "u long, v long")
+    return units.mapInArrow(run, "u long, v long")
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,7 +441,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     spark_key = docs.schema[key].dataType.simpleString()
     table = materialize(signatures(docs, key, text), "ngram-signatures")
-    groups = materialize(connected_components(candidate_edges(table.where("class is not null"))), "ngram-groups")
+    groups = materialize(connected_components(candidate_edges(table.where("class is not null").select("class", "n", "sketch", "keys"))), "ngram-groups")
     first = table.where("class is not null and id is not null").groupBy("class").agg(F.min(F.col("id").cast("long")).alias("id"), F.min("n").alias("n"))
     wanted = first.join(groups.select(F.col("node").alias("class"), F.col("root").alias("comp")), "class")
     wanted = materialize(wanted, "ngram-wanted")

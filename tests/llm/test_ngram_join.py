@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -82,6 +83,8 @@ def test_matches_brute_force(spark):
 
 def test_blocks_and_common_shingles_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 2)
     docs = planted(8)
     assert run(spark, docs) == brute(docs)
     rows = spark.createDataFrame(docs, "doc_id long, text string")
@@ -105,7 +108,40 @@ def test_parts_are_a_pigeonhole():
             assert ka & kb, n
 
 
-def test_components(spark):
+def test_shared_parts_across_batches(spark):
+    rng = random.Random(9)
+    rows = [(c, [rng.randint(0, 150) for _ in range(3)]) for c in range(100)] + [(7, [1, 1, 2])] * 3
+    rows += [(c, [-5, 999]) for c in range(200, 260)]
+    groups = {}
+    for c, keys in rows:
+        for k in keys:
+            groups.setdefault(k, set()).add(c)
+    small = {tuple(sorted(p)) for own in groups.values() if 1 < len(own) <= ngram_join.SMALL_GROUP for p in itertools.combinations(own, 2)}
+    large = sorted((k, c) for k, own in groups.items() if len(own) > ngram_join.SMALL_GROUP for c in own)
+    for size in ("1", "2", "7", "30", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = ngram_join.shared_parts(spark.createDataFrame(rows, "class long, keys array<long>")).collect()
+        assert {tuple(sorted((r["u"], r["v"]))) for r in got if r["key"] is None} == small
+        assert sorted((r["key"], r["u"]) for r in got if r["key"] is not None) == large and len(large) == 120
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 1000, 1100, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 9 :], rng.integers(0, 1 << 63, n // 12).astype(np.uint64)]))
+        c = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        sketch = [ngram_join.dense_sketch(x).view(np.uint64)[None, :] for x in (a, b, c)]
+        w = min(x.shape[1] for x in sketch)
+        sa, sb, sc = (ngram_join.folded(x, w) for x in sketch)
+        assert np.bitwise_count(sa ^ sb).sum() <= len(np.setxor1d(a, b))
+        assert n < 30 or np.bitwise_count(sa ^ sc).sum() > (len(a) + len(c)) // 7
+
+
+@pytest.mark.parametrize("chunk", [10, 200_000])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
     rng = random.Random(3)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1300)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
