@@ -7,10 +7,15 @@ out for a document that has fewer words, or fewer of the template's bigrams, tha
 could do. What is left is found by running sums over the places of the template's bigrams, at
 every place of the document, and the exact coefficient decides. Of windows that overlap, the one
 with the largest coefficient stands.
+
+Templates are the planted kind of one-line notice, each licence's name in the wordings that notices
+use (``-line-1`` and so on), SPDX tags, short licences, and whole texts (``-text``, ``WHOLE``).
+A part that is letter by letter the same stands before a whole text with a changed word.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from collections import Counter
 from itertools import repeat
@@ -38,7 +43,7 @@ TEMPLATES = {
     "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-line": "Released under the BSD License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -53,7 +58,53 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
+    "All-rights-reserved-line": "All rights reserved.",
+    "BSD-3-Clause-endorsement": "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "AGPL-3.0-heading": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Public-domain-line": "This work is in the public domain.",
+    "Public-domain-line-1": "dedicated to the public domain",
+}
+# Names that follow "under" in notices of one line.
+_NAMES = {
+    "MIT": ["the MIT License", "MIT License", "the terms of the MIT License", "the MIT licence", "an MIT license"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "Apache License 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache 2.0", "the Apache-2.0 license", "the terms of the Apache License, Version 2.0"],
+    "BSD": ["the BSD License", "a BSD license", "a BSD-style license", "the terms of the BSD License"],
+    "BSD-2-Clause": ["the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License"],
+    "BSD-3-Clause": ["the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License", "the Modified BSD License"],
+    "ISC": ["the ISC License", "ISC License"],
+    "Zlib": ["the zlib License"],
+    "Unlicense": ["the Unlicense"],
+    "MPL-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "the MPL 2.0", "MPL 2.0"],
+    "CC0": ["CC0 1.0", "CC0 1.0 Universal", "the CC0 1.0 Universal license"],
+    "GPL": ["the GNU General Public License", "the GNU GPL", "the GPL"],
+    "LGPL": ["the GNU Lesser General Public License", "the GNU LGPL", "the LGPL"],
+    "AGPL": ["the GNU Affero General Public License", "the GNU AGPL", "the AGPL"],
 }
+for _id, _long, _versions in (("GPL", "General", "23"), ("LGPL", "Lesser General", "3"), ("AGPL", "Affero General", "3")):
+    for _v in _versions:
+        _NAMES[f"{_id}-{_v}.0"] = [f"the GNU {_long} Public License, version {_v}", f"the GNU {_long} Public License v{_v}", f"the GNU {_long} Public License v{_v}.0", f"the GNU {_id} v{_v}", f"the GNU {_id}, version {_v}", f"the {_id}v{_v}", f"{_id}v{_v}", f"the {_id} v{_v}", f"{_id} v{_v}", f"{_id}-{_v}.0"]
+_NAMES["LGPL-2.1"] = ["the GNU Lesser General Public License, version 2.1", "the GNU LGPL, version 2.1", "LGPL-2.1", "the LGPL 2.1"]
+_ATTRIBUTION = {"": "", "-SA": "-ShareAlike", "-NC": "-NonCommercial", "-ND": "-NoDerivatives", "-NC-SA": "-NonCommercial-ShareAlike", "-NC-ND": "-NonCommercial-NoDerivatives"}
+for _short, _long in _ATTRIBUTION.items():
+    for _v, _port in (("4.0", "International"), ("3.0", "Unported")):
+        _name = f"a Creative Commons Attribution{_long} {_v} {_port} License"
+        _NAMES[f"CC-BY{_short}-{_v}"] = [f"CC BY{_short} {_v}", f"a CC BY{_short} {_v} license", f"the CC BY{_short} {_v} license", _name, _name.replace("a ", "the ", 1), f"Creative Commons Attribution{_long} {_v}"]
+for _id, _names in _NAMES.items():
+    for _k, _name in enumerate(_names, 1):
+        TEMPLATES[f"{_id}-line-{_k}"] = f"under {_name}"
+for _id in ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "MPL-2.0", "CC0-1.0"] + [f"CC-BY{x}-{v}" for x in _ATTRIBUTION for v in ("4.0", "3.0")] + [f"{x}-{k}" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for k in ("only", "or-later")]:
+    TEMPLATES[f"{_id}-spdx"] = f"SPDX-License-Identifier: {_id}"
+for _id in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"):
+    TEMPLATES[f"{_id}-spdx"] = f"SPDX-License-Identifier: {_id}"
+
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_TEXTS = ("Apache-2.0", "Artistic-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0")
+#: Whole licence texts; those of ``license_texts`` are as their publishers word them.
+WHOLE = {f"{x}-text": pkgutil.get_data("kegler.llm", f"license_texts/{x}.txt").decode() for x in _TEXTS}
+# Their names come before that of the conditions they share, which decides where all is letter by letter the same.
+WHOLE["BSD-2-Clause"] = f"{TEMPLATES['BSD-conditions']} {_AS_IS}"
+WHOLE["BSD-3-Clause"] = f"{TEMPLATES['BSD-conditions']} {_ENDORSE} {_AS_IS}"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -67,6 +118,29 @@ def dice(a: list, b: list) -> float:
     return 2 * (x & y).total() / total if x and y else 0.0
 
 
+def _commons(pairs: np.ndarray, own: Counter, size: int, begins: list[int]) -> list[int]:
+    """Bigrams in common with the template of each window, by moving one window on: a step costs the same for any size."""
+    out: list[int] = []
+    if not begins:
+        return out
+    have: dict[int, int] = {}
+    common, low, high = 0, begins[0], begins[0]
+    for b in begins:
+        if b >= high:
+            have, common, low, high = {}, 0, b, b
+        for p in pairs[low:b].tolist():
+            if p in own:
+                common -= have[p] <= own[p]
+                have[p] -= 1
+        for p in pairs[high : b + size].tolist():
+            if p in own:
+                have[p] = have.get(p, 0) + 1
+                common += have[p] <= own[p]
+        low, high = b, b + size
+        out.append(common)
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float):
         self.threshold = threshold
@@ -78,8 +152,11 @@ class Scanner:
                 raise ValueError(f"template {name} has no bigram")
             self.templates.append((name, [self.number.setdefault(w, len(self.number) + 1) for w in words]))
         self.base = len(self.number) + 1
-        self.codes = [np.unique([a * self.base + b for a, b in zip(t, t[1:], strict=False)]) for _, t in self.templates]
+        self.counts = [Counter(a * self.base + b for a, b in zip(t, t[1:], strict=False)) for _, t in self.templates]
+        self.codes = [np.array(sorted(c), np.int64) for c in self.counts]
         self.every = np.unique(np.concatenate(self.codes))
+        self.sizes = np.array([len(t) - 1 for _, t in self.templates])
+        self.member = np.stack([np.isin(self.every, c) for c in self.codes], axis=1)
 
     def scan(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
         """(name, coefficient, first word, word after the last) of the windows that stand, in order."""
@@ -88,26 +165,26 @@ class Scanner:
         ids = np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
         pairs = ids[:-1] * self.base + ids[1:]
         pairs[(ids[:-1] == 0) | (ids[1:] == 0)] = -1
-        at = np.flatnonzero(np.isin(pairs, self.every))
+        at = np.flatnonzero(pairs >= 0)
+        which = np.minimum(np.searchsorted(self.every, pairs[at]), len(self.every) - 1)
+        hit = self.every[which] == pairs[at]
+        at, which = at[hit], which[hit]
         if not len(at):
             return []
-        near = pairs[at]
+        # 2 * common / (size + n) >= threshold
+        size_of = np.minimum(self.sizes, len(pairs))
+        least_of = np.ceil(self.threshold * (size_of + self.sizes) / 2 - 1e-9).astype(np.int64)
+        number = np.bincount(which, minlength=len(self.every)) @ self.member if len(at) > len(self.every) else self.member[which].sum(axis=0)
         found = []
-        for (name, template), codes in zip(self.templates, self.codes, strict=True):
-            n = len(template) - 1
-            size = min(n, len(pairs))
-            # 2 * common / (size + n) >= threshold
-            least = int(np.ceil(self.threshold * (size + n) / 2 - 1e-9))
-            if least > size:
-                continue
-            own = at[np.isin(near, codes)]
-            if len(own) < least:
-                continue
+        for k in np.flatnonzero((least_of <= size_of) & (number >= least_of)).tolist():
+            name, n, size, least = self.templates[k][0], int(self.sizes[k]), int(size_of[k]), int(least_of[k])
+            own = at[self.member[which, k]]
             # Places of the template's bigrams within each window that begins at one of them, or ends there.
             begins = np.unique(np.concatenate([np.minimum(own, len(pairs) - size), np.maximum(own - size + 1, 0)]))
             inside = np.searchsorted(own, begins + size) - np.searchsorted(own, begins)
-            for b in begins[inside >= least].tolist():
-                d = dice(ids[b : b + size + 1].tolist(), template)
+            begins = begins[inside >= least].tolist()
+            for b, common in zip(begins, _commons(pairs, self.counts[k], size, begins), strict=True):
+                d = 2 * common / (size + n)
                 if d >= self.threshold:
                     found.append((-d, b, name, b + size + 1))
         kept: list[tuple[str, float, int, int]] = []
@@ -127,7 +204,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     A null text has no words. Rows repeat as they come, other columns are ignored. Templates are a
     parameter of the scan and travel with it; documents aren't shuffled.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, threshold))
+    shipped = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES | WHOLE if templates is None else templates, threshold))
 
     def run(batches):
         scanner = shipped.value

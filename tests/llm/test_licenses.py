@@ -65,3 +65,57 @@ def test_op6_on_table(spark, sf):
 def test_empty(spark):
     rows = spark.createDataFrame([], "doc_id long, text string")
     assert L.scan_licenses(rows).collect() == []
+
+
+# The lines that the generator plants, stated here rather than taken from the templates.
+PLANTED = {
+    "Released under the MIT License.": "MIT-line",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0-line",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-line",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-line",
+    "All rights reserved.": "All-rights-reserved-line",
+}
+
+
+def test_op6_finds_planted_lines(spark, sf):
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        names = [PLANTED[line] for line in (r["text"] or "").split("\n") if line in PLANTED]
+        want[r["doc_id"]] = (len(names), ",".join(sorted(set(names))))
+    got = {r["doc_id"]: (r["n_matches"], r["licenses"]) for r in queries.op6_license_scan(spark, sf).collect()}
+    assert got == want and {x for _, x in want.values()} >= {"All-rights-reserved-line"}
+
+
+def test_variants_and_whole_texts():
+    scanner = L.Scanner(L.TEMPLATES | L.WHOLE, L.THRESHOLD)
+    names = lambda t: [x[0] for x in scanner.scan(L.words_of(t.encode()))]
+    for text, name in (
+        ("x (c) 2020 A. All rights reserved.", "All-rights-reserved-line"),
+        ("Distributed under the MIT license, see there", "MIT-line-1"),
+        ("available under the terms of the MIT License", "MIT-line-3"),
+        ("code released under Apache 2.0 here", "Apache-2.0-line-5"),
+        ("released under the GNU GPL v2 or so", "GPL-2.0-line-4"),
+        ("licensed under the GNU General Public License, version 1", "GPL-line-1"),
+        ("Available under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0-line-1"),
+        ("under a Creative Commons Attribution-NoDerivatives 3.0 Unported License", "CC-BY-ND-3.0-line-4"),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later-spdx"),
+    ):
+        assert names("word " * 5 + text + " word" * 5) == [name], text
+    assert names("rights are reserved, all under license of the work") == []
+    for name, text in L.WHOLE.items():
+        assert names(f"some words before {text} and after") == [name]
+    # A body with changed words and without its last tenth.
+    words = L.WHOLE["GPL-2.0-text"].split()
+    words[::300] = ["changed"] * len(words[::300])
+    assert "GPL-2.0-text" in names(" ".join(words[: len(words) * 9 // 10]))
+    bsd = L.WHOLE["BSD-3-Clause"].replace("copyright holder nor", "Foo Company nor")
+    assert names(bsd)[:2] == ["BSD-conditions", "BSD-3-Clause-endorsement"]
+
+
+def test_whole_texts_match_brute_force():
+    own = {k: v for k, v in L.WHOLE.items() if k.startswith("BSD")} | {k: L.TEMPLATES[k] for k in ("BSD-conditions", "All-rights-reserved-line", "MIT", "MIT-line-1")}
+    scanner, rng = L.Scanner(own, L.THRESHOLD), random.Random(3)
+    for text in own.values():
+        words = [w for w in text.split() if rng.random() > 0.02]
+        t = "all rights reserved " + " ".join(words[: rng.randint(len(words) * 8 // 10, len(words))]) + " under the MIT License " * 2
+        assert [(n, b, e, d) for n, d, b, e in scanner.scan(L.words_of(t.encode()))] == brute(t, own, L.THRESHOLD)
