@@ -5,7 +5,9 @@ commas and its length, to the elements around it, fewer the farther up, and an e
 discounted by the share of its text that is inside links. The best element is the main container; it is widened to the
 article around it, if there is one, and siblings with a fair share of its points are kept. Menus,
 page headers and footers, sidebars, notices, adverts, forms and reader comments are no text to begin
-with, told by element, role, or words of class and id.
+with, told by element, role, or words of class and id. Names may mislead, so what only a name (or a
+form) tells is judged when the whole tree is known: an element that holds an article, the main part,
+a title or most of the page's text stays, with fewer points unless it is around all of that.
 
 The parser takes one pass and never fails: it closes what is left open and passes over what was
 never opened. Work is in proportion to the page.
@@ -27,7 +29,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 
 # Element names by what they do.
 _RAW = frozenset("script style noscript iframe textarea title template xmp noembed noframes".split())
-_DROP = frozenset("nav footer aside form button select option dialog menu svg math canvas object audio video head fieldset".split())
+_DROP = frozenset("nav footer aside button select option dialog menu svg math canvas object audio video head fieldset".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul head select option button svg math canvas object audio video".split())
 _VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "option"}
@@ -41,51 +43,82 @@ _FURNITURE = frozenset(
     "notices notification overlay pager pagination popup promo promoted promotion related recommended replies respond rss search share sharing "
     "sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar tooltip topbar widget widgets".split()
 )
+# Words of those that also name a section of an article; those of comments; words that say what a page has beside.
+_AMBIGUOUS = frozenset("banner discussion header login menu menus notice notices notification notifications overlay promotion recommended related rss search share sharing social sponsor sponsors subscription".split())
+_COMMENTS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
+_BESIDE = frozenset("has have no not with without hide hides show shows".split())
+_NO, _HARD, _NAMED, _MAYBE, _COMMENT, _FORM = range(6)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of its points that text keeps in an element whose name speaks against it.
+_LOWERED = 0.25
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "dropped", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "depth", "kind", "dropped", "points", "chars", "linked", "in_article", "above", "part", "text", "links", "parts", "inner", "title", "prose", "first", "factor", "barrier")
 
-    def __init__(self, tag: str, parent: "_Node | None", dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: "_Node | None", kind: int):
+        self.tag, self.parent, self.kind = tag, parent, kind
+        self.dropped = kind == _HARD or parent is not None and parent.dropped
         self.depth = parent.depth + 1 if parent else 0
         self.points = 0.0
         self.chars = self.linked = 0
+        self.in_article = parent is not None and (parent.in_article or parent.tag == "article")
+        # Articles and main parts around it, and the nearest; then what is in it: characters outside links
+        # and inside, articles and main parts, elements that are articles, titles, paragraphs, the first block.
+        self.above = parent.above + parent.is_part() if parent else 0
+        self.part: _Node | None = parent and (parent if parent.is_part() else parent.part)
+        self.text = self.links = self.parts = self.inner = self.title = self.prose = 0
+        self.first = ""
+        self.factor, self.barrier = 1.0, False
 
+    def is_part(self) -> bool:
+        return self.tag in ("article", "main") and not self.in_article and self.kind == _NO
 
-def _is_furniture(tag: str, attributes: str, parent: _Node) -> bool:
+
+def _furniture(tag: str, attributes: str, parent: _Node) -> int:
+    """What element, role and names say: no furniture, furniture whatever it holds, or a kind that is judged later."""
     if tag in _DROP:
-        return True
+        return _HARD
     if tag == "header":
         up: _Node | None = parent
         for _ in range(6):
             if up is None:
                 break
             if up.tag in ("article", "main"):
-                return False
+                return _NO
             up = up.parent
-        return True
+        return _HARD
     if not attributes:
-        return False
+        return _FORM if tag == "form" else _NO
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    names = re.split(r"[\s_-]+", found.get("class", "") + " " + found.get("id", ""))
-    words = {w.lower() for name in names for w in [name, *_WORDS.findall(name)]}
+    words = set()
+    for name in (found.get("class", "") + " " + found.get("id", "")).split():
+        own = [w for part in re.split(r"[_-]+", name) for w in [part, *_WORDS.findall(part)]]
+        lower = [w.lower() for w in own]
+        # "no-sidebar", "layout-with-menu": what comes after is beside it.
+        words.update(lower[: next((k for k, w in enumerate(lower) if w in _BESIDE), len(lower))])
     if tag in ("html", "body", "main"):
-        return False
+        return _NO
     if tag == "article":
-        return bool(words & {"comment", "comments", "reply", "replies"})
+        return _COMMENT if words & {"comment", "comments", "reply", "replies"} else _NO
     if found.get("role", "").lower() in _ROLES or found.get("aria-hidden", "").lower() == "true" or re.search(r"\bhidden\b", re.sub(r"=\s*(\"[^\"]*\"|'[^']*'|\S+)", "", attributes)):
-        return True
-    return bool(words & _FURNITURE)
+        return _HARD
+    named = words & _FURNITURE
+    if named and named <= _AMBIGUOUS:
+        return _MAYBE
+    if named & _COMMENTS:
+        return _COMMENT
+    return _NAMED if named else _FORM if tag == "form" else _NO
 
 
 class _Page:
     """Blocks of text with the elements that hold them, in page order."""
 
     def __init__(self, source: str):
-        self.root = _Node("#page", None, False)
+        self.root = _Node("#page", None, _NO)
         self.stack = [self.root]
+        self.nodes = [self.root]
         self.open = {"#page": 1}
         self.blocks: list[tuple[_Node, str, int]] = []
         self.text: list[str] = []
@@ -162,11 +195,52 @@ class _Page:
                     self._close(_SAME[tag], _SCOPE[tag])
                 if tag not in _VOID:
                     parent = self.stack[-1]
-                    self.stack.append(_Node(tag, parent, parent.dropped or _is_furniture(tag, m[2], parent)))
+                    self.stack.append(_Node(tag, parent, _NO if parent.dropped else _furniture(tag, m[2], parent)))
+                    self.nodes.append(self.stack[-1])
                     self.open[tag] = self.open.get(tag, 0) + 1
         self._flush()
 
 
+def _judge(page: _Page) -> None:
+    """Drop the elements that a name tells and nothing in them speaks against, and lower the points of others."""
+    for node, text, linked in page.blocks:
+        node.text += max(0, len("".join(text.split())) - linked)
+        node.links += linked
+        node.title += node.tag == "h1"
+        node.prose += node.tag == "p"
+        node.first = node.first or node.tag
+    if any(v.kind > _HARD for v in page.nodes):
+        for v in reversed(page.nodes):
+            if v.parent is not None:
+                up = v.parent
+                up.text, up.links, up.title, up.prose = up.text + v.text, up.links + v.links, up.title + v.title, up.prose + v.prose
+                up.inner += v.inner + (v.tag == "article")
+                up.parts += v.parts + (v.is_part() and not v.dropped and v.text > 0)
+                # Children come in reverse, so the first with text is the last to write.
+                up.first = v.first or up.first
+        whole, parts = page.root.text, page.root.parts
+        for v in page.nodes:
+            if v.parent is None or v.dropped:
+                continue
+            up = v.parent
+            v.factor = up.factor
+            if up.dropped:
+                v.dropped = True
+            elif v.kind != _NO:
+                elsewhere = parts - v.parts - v.above > 0
+                most = 2 * v.text > whole and not elsewhere and not (v.kind == _COMMENT and v.part is not None and v.part.text > v.text)
+                holds = v.parts > 0 and not v.in_article
+                titled = v.title > 0 and (v.kind in (_NAMED, _MAYBE) or v.tag == "article")
+                section = v.kind == _MAYBE and v.above > 0 and v.first in _HEADINGS and v.prose > 0 and not v.inner and 4 * v.links <= v.text and (v.tag == "section" or v.text >= 200)
+                if most or section:
+                    continue
+                if not holds and not titled:
+                    v.dropped = True
+                else:
+                    v.factor, v.barrier = _LOWERED, not titled
+    page.blocks = [b for b in page.blocks if not b[0].dropped]
+
+
 _LEVELS = 6
 
 
@@ -175,7 +249,7 @@ def _score(page: _Page) -> dict[int, _Node]:
     seen: dict[int, _Node] = {}
     for node, text, linked in page.blocks:
         points = 1.0 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100.0, 3.0)
-        points *= 1.0 - min(1.0, linked / len(text))
+        points *= (1.0 - min(1.0, linked / len(text))) * node.factor
         # A paragraph is no container: its points go to what holds it.
         up = node.parent if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "dt", "dd", "td", "th", "figcaption", "blockquote") and node.parent else node
         for level in range(_LEVELS):
@@ -194,8 +268,10 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _Page(source)
-    menus = _menus(page.blocks)
-    page.blocks = [b for b in page.blocks if id(b[0]) not in menus]
+    _judge(page)
+    whole = page.blocks
+    menus = _menus(whole)
+    page.blocks = [b for b in whole if id(b[0]) not in menus]
     if not page.blocks:
         return ""
     worth = {k: (v.points * (1.0 - v.linked / max(1, v.chars)), v) for k, v in _score(page).items()}
@@ -209,14 +285,17 @@ def main_text(source: str | None) -> str:
                 break
         up = up.parent
     kept = {id(best)}
-    if best.tag not in ("article", "main", "body", "html", "#page"):
+    if best.tag not in ("body", "html", "#page"):
         # Siblings of the container, and headings or paragraphs beside it.
+        part = best.tag in ("article", "main")
         for k, (w, v) in worth.items():
-            if v.parent is best.parent and w >= max(10.0, 0.2 * top):
+            if v.parent is best.parent and w >= max(0.0 if part and v.tag in ("article", "section", "main") else 10.0, 0.2 * top):
                 kept.add(k)
         for node, text, linked in page.blocks:
-            if node.parent is best.parent and (node.tag in ("h1", "h2") or node.tag == "p" and len(text) > 80 and linked < 0.25 * len(text)):
+            if node.parent is best.parent and (node.tag == "h1" or node.tag == "h2" and not part or node.tag == "p" and len(text) > 80 and linked < 0.25 * len(text)):
                 kept.add(id(node))
+        # Lists of links in the container are part of it; elsewhere, and where all is one container, they are menus.
+        page.blocks = whole
     inside: dict[int, bool] = {}
 
     def is_inside(node: _Node | None) -> bool:
@@ -226,6 +305,9 @@ def main_text(source: str | None) -> str:
                 inside[id(node)] = True
                 break
             path.append(id(node))
+            if node.barrier:
+                node = None
+                break
             node = node.parent
         verdict = node is not None and inside[id(node)]
         for k in path:

@@ -65,3 +65,45 @@ def test_null_repeated_and_empty(spark):
     rows = spark.createDataFrame([(1, None, None, "a"), (None, "u", "<p>x", "b"), (None, "u", "<p>x", "b")], "page_id long, url string, html string, text string")
     assert sorted(tuple(r) for r in extract_pages(rows).na.fill(-1).na.fill("-").collect()) == [(-1, "u", "x", 1), (-1, "u", "x", 1), (1, "-", "", 0)]
     assert extract_pages(rows.where("false")).count() == 0
+
+
+def test_names_that_mislead():
+    long = "Some words, and more words, that go on for a while, as paragraphs do. " * 3
+    p, text = f"<p>{long}</p>", long.strip()
+    article = f"<article><h1>T</h1>{p}</article>"
+    for name in ("content has-sidebar", "no-sidebar", "layout-with-sidebar", "page with-menu", "layout-sidebar-right", "post comments-open", "widget"):
+        assert main_text(PAGE % f"<div class='{name}'>{article}</div>") == f"T\n{text}", name
+        assert main_text(PAGE % f"<div class='{name}'>{p}{p}</div>") == f"{text}\n{text}", name
+        assert main_text(PAGE % f"<main><div id='{name.split()[-1]}'>{p}{p}</div></main>") == f"{text}\n{text}", name
+    assert main_text(PAGE % f"<form id='aspnetForm'>{article}</form>") == f"T\n{text}"
+    assert main_text(PAGE % f"<article class='post comments-open'><h1>T</h1>{p}</article>") == f"T\n{text}"
+    for holder in ("<article>%s</article>", "<div>%s</div>", "<main>%s</main>"):
+        assert main_text(PAGE % (holder % f"<div class='entry-header'><h1>T</h1></div>{p}{p}")) == f"T\n{text}\n{text}"
+
+
+def test_named_sections_of_an_article():
+    body = "<article><h1>T</h1><section id='results'><h2>Results</h2><p>One, two.</p></section><section id='discussion'><h2>Discussion</h2><p>Three, four.</p></section><section class='comments'><h2>Comments</h2><p>me, too</p></section></article>"
+    assert main_text(PAGE % body) == "T\nResults\nOne, two.\nDiscussion\nThree, four."
+
+
+def test_lists_of_links():
+    links = "<ul><li><a href=x>Ref one</a></li><li><a href=y>Ref two</a></li></ul>"
+    assert main_text(PAGE % f"<ul><li><a href=x>Home</a><li><a href=y>News</a></ul><article><h1>T</h1><p>Be.</p>{links}</article>{links}") == "T\nBe.\nRef one\nRef two"
+
+
+def test_siblings_of_article():
+    long = "Some words, and more words, that go on for a while, as paragraphs do. " * 3
+    one, text = f"<p>{long}</p><p>{long}</p>", f"{long.strip()}\n{long.strip()}"
+    for a, b in (("article", "article"), ("article", "section"), ("main", "section")):
+        assert main_text(PAGE % f"<div><{a}>{one}</{a}><{b}>{one}</{b}></div>") == f"{text}\n{text}", (a, b)
+    assert main_text(PAGE % f"<h1>T</h1><article>{one}</article>") == f"T\n{text}"
+
+
+def test_furniture_stays_out():
+    long = "Some words, and more words, that go on for a while, as paragraphs do. " * 3
+    article, text = f"<article><h1>T</h1><p>{long}</p></article>", f"T\n{long.strip()}"
+    teasers = "<div class='related'>" + "<article><h3>R</h3><p>Teaser, one.</p></article>" * 3 + "</div>"
+    comments = "<div id='comments'>" + f"<article id='div-comment-1'><p>{long}</p></article><p>{long}</p>" * 9 + "</div>"
+    for body in (article + teasers, article + comments, f"<main>{article}{teasers}{comments}</main>", f"<div class='has-sidebar'>{article}{comments}<div class='sidebar'><p>{long}</p></div></div>"):
+        assert main_text(PAGE % body) == text
+    assert main_text(PAGE % article.replace("</article>", teasers + comments + "</article>")) == text
