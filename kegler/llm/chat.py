@@ -105,24 +105,40 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     return out.withColumn("n_tokens_expanded", total).withColumnRenamed("conv", conv)
 
 
-def parse_conversations(formatted: DataFrame, conv: str = "conv_id", text: str = "formatted") -> DataFrame:
-    """Read formatted conversations back: conv, turns (array of role, text), in order.
+def parse_conversations(formatted: DataFrame, conv: str = "conv_id", text: str = "formatted", others: tuple[str, ...] = ()) -> DataFrame:
+    """Read formatted conversations back: conv, turns (array of role, text), in order, and ``others`` as they are.
 
     Placeholders stay in the text. Only what escaped text can't contain ends a turn or a role.
     """
     pieces = F.filter(F.split(F.col(text), r"</turn>\n"), lambda x: x != "")
     head = r"(?s)^### ((?:[^:\\]|\\.)*+): "
     turns = F.transform(pieces, lambda x: F.struct(unescape(F.regexp_extract(x, head, 1)).alias("role"), unescape(F.regexp_replace(x, head, "")).alias("text")))
-    return formatted.select(F.col(conv), F.col(text).alias("formatted"), turns.alias("turns"))
+    return formatted.select(F.col(conv), F.col(text).alias("formatted"), turns.alias("turns"), *others)
+
+
+#: Code points of the blocks from which spans are cut.
+CUT_BLOCK = 1024
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of a text that is cut into blocks: work in proportion to the span."""
+    first = F.floor(start / CUT_BLOCK)
+    last = F.floor((end - 1) / CUT_BLOCK)
+    own = F.array_join(F.slice(blocks, (first + 1).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")), "")
+    return F.substring(own, (start - first * CUT_BLOCK + 1).cast("int"), (end - start).cast("int"))
 
 
 def conversation_digest(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Format conversations of plain texts, read them back and digest what was read: conv, n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    turns_sha256, loss_chars, loss_sha256, formatted_chars. Turns are those that are parsed; what is
+    learned is the text under the loss spans."""
     rows = turns.select(F.col(conv), F.col(turn), F.col(role), text_part(F.col(text)).alias("parts"))
     formatted = format_conversations(rows, conv, turn, role)
-    back = parse_conversations(formatted.select(conv, "formatted"), conv)
+    back = parse_conversations(formatted, conv, others=("loss",))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    out = back.select(F.col(conv), "formatted", F.size("turns").cast("long").alias("n_turns"), whole.alias("whole"), learned.alias("learned"))
+    found = F.struct("formatted", "loss", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CUT_BLOCK}}}"), F.lit(0)).alias("blocks"), F.size("turns").cast("long").alias("n_turns"), whole.alias("whole"))
+    # A generator keeps the optimizer from moving the blocks into the lambda, where each span would make them anew.
+    back = back.select(F.col(conv), F.inline(F.array(found)))
+    learned = F.array_join(F.transform("loss", lambda s: unescape(_cut(F.col("blocks"), s["start"], s["end"]))), "")
+    out = back.select(F.col(conv), "formatted", "n_turns", "whole", learned.alias("learned"))
     return out.select(F.col(conv), "n_turns", F.sha2("whole", 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

@@ -60,3 +60,15 @@ def test_loss_spans_and_attachments(spark):
     assert two["formatted"] == "### assistant: </turn>\n" and two["attachments"] == [] and two["loss"][0]["start"] == two["loss"][0]["end"] == 15
     back = chat.parse_conversations(chat.format_conversations(frame)).where(F.col("conv_id") == 1).first()
     assert [t["role"] for t in back["turns"]] == ["user", "assistant", "user", "assistant"] and back["turns"][1]["text"] == "é ### fine</turn>"
+
+
+def test_digest_is_of_the_text_under_the_mask(spark, monkeypatch):
+    rows = [(k, t, r, x) for k in range(3) for t, (r, x) in enumerate([("user", "q\\ ### é"), ("assistant", "é😀 ### a </turn> " * (200 * k + 1)), ("user", ""), ("assistant", "b\\" * k)])]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r["conv_id"]: tuple(r[1:5]) for r in chat.conversation_digest(turns).collect()} == brute(rows)
+    whole = chat.format_conversations
+    moved = F.transform("loss", lambda s: F.struct((s["start"] - 1).alias("start"), s["end"].alias("end")))
+    monkeypatch.setattr(chat, "format_conversations", lambda *a: whole(*a).withColumn("loss", moved))
+    got = {r["conv_id"]: tuple(r[1:5]) for r in chat.conversation_digest(turns).collect()}
+    for c, (n, turns_sha, chars, learned_sha) in brute(rows).items():
+        assert got[c][:2] == (n, turns_sha) and got[c][2] == chars + 2 and got[c][3] != learned_sha
