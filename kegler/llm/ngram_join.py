@@ -344,7 +344,8 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _id_bit(ids: pa.Array) -> np.ndarray:
-    x = ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    """Place of an id in the filter; that of a null is any."""
+    x = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     return (_spread(x, 0xF117E5) >> np.uint64(20)).astype(np.int64) % FILTER_BITS
 
 
@@ -364,19 +365,27 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def candidate_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """id, shingles (binary) of the documents whose ids ``wanted`` has, with its other columns."""
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted.select("id")))
+    """id, class, shingles (binary) of the documents that ``wanted`` has by id and class, with its other
+    columns. A null id is one like any other, and a document whose id also stands for another text
+    comes with the class of its own."""
+    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted.where("id is not null").select("id")))
+    nulls = not wanted.where("id is null").isEmpty()
 
     def run(batches):
         shingler, on = Shingler(), bits.value
         for batch in batches:
             place = _id_bit(batch.column(0))
-            chosen = batch.filter(pa.array((on[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)))
+            own = (on[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            chosen = batch.filter(pa.array(np.where(null, nulls, own)))
             for a, b, texts in _texts(chosen, 1):
-                yield pa.RecordBatch.from_pydict({"id": chosen.column(0).slice(a, b - a), "shingles": pa.array([shingler(t).tobytes() for t in texts[a:b]], pa.binary())})
+                sets = [shingler(t) for t in texts[a:b]]
+                classes = [class_of(x) if len(x) else None for x in sets]
+                yield pa.RecordBatch.from_pydict({"id": chosen.column(0).slice(a, b - a), "class": pa.array(classes, pa.int64()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "id long, shingles binary")
-    return rows.join(wanted, "id")
+    rows = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "id long, class long, shingles binary")
+    named = wanted.withColumnsRenamed({"id": "_id", "class": "_class"})
+    return rows.join(named, F.col("id").eqNullSafe(F.col("_id")) & (F.col("class") == F.col("_class"))).drop("_id", "_class")
 
 
 def near_pairs(names: list[int], sizes: np.ndarray, sketch: list[np.ndarray], side: np.ndarray | None = None, verify=None) -> list[tuple[int, int]]:
@@ -442,7 +451,8 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     spark_key = docs.schema[key].dataType.simpleString()
     table = materialize(signatures(docs, key, text), "ngram-signatures")
     groups = materialize(connected_components(candidate_edges(table.where("class is not null").select("class", "n", "sketch", "keys"))), "ngram-groups")
-    first = table.where("class is not null and id is not null").groupBy("class").agg(F.min(F.col("id").cast("long")).alias("id"), F.min("n").alias("n"))
+    # A class is fetched by its least id, or by the null id where it has no other.
+    first = table.where("class is not null").groupBy("class").agg(F.min(F.col("id").cast("long")).alias("id"), F.min("n").alias("n"))
     wanted = first.join(groups.select(F.col("node").alias("class"), F.col("root").alias("comp")), "class")
     wanted = materialize(wanted, "ngram-wanted")
     totals = wanted.groupBy("comp").agg(F.sum("n").alias("total"))

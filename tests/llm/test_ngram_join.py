@@ -169,3 +169,15 @@ def test_op8_on_table(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in queries.op8_ngram_jaccard(spark, sf).collect())
     assert got == brute(docs)
+
+
+def test_null_and_repeated_keys(spark):
+    word = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    # A null key bridges two documents that aren't alike; it is the only one of its class.
+    docs = [(1, word(0, 100)), (None, word(10, 110)), (2, word(20, 120)), (None, word(500, 530)), (None, word(502, 532))]
+    # One key with two texts, each alike with another document.
+    docs += [(7, word(1000, 1100)), (7, word(2000, 2100)), (6, word(1005, 1105)), (8, word(2005, 2105)), (7, word(2000, 2100))]
+    for own in (docs, docs[::-1], docs[5:] + docs[:5]):
+        rows = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+        got = sorted(((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in ngram_join.ngram_components(rows).collect()))
+        assert got == sorted([(1, 96, 1), (-1, 96, 1), (2, 96, 1), (-1, 26, -1), (-1, 26, -1), (7, 96, 6), (6, 96, 6), (7, 96, 7), (7, 96, 7), (8, 96, 7)])
