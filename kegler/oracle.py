@@ -227,6 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "q_label_anchor": f"SELECT lane_name, zone, CAST(trunc(avg(x)) AS INT) AS x, CAST(trunc(avg(y)) AS INT) AS y FROM (VALUES {points}) AS p(k, lane_name, zone, i, x, y) GROUP BY lane_name, zone HAVING count(*) >= 3",
         "q_run_metrics": _chain(f"SELECT (SELECT count(DISTINCT lane_name) FROM s) AS n_lanes, (SELECT count(*) FROM s) AS n_signals, (SELECT count(DISTINCT frame_index) FROM s WHERE frame_index % {interval} = 0 AND conf >= CAST({P.confidence} AS DOUBLE)) AS n_probe_hits, count(*) AS n_shots, count(*) FILTER (gutter_fallback) AS n_gutter, CAST(sum(end_frame - start_frame + 1) AS BIGINT) AS frames_in_shots FROM shots"),
         "q_signal_arrays": _with(SIGNALS) + f"SELECT lane_name, CAST(count(*) AS INT) AS n, array_to_string(list_slice(list(CAST(round(conf * 100) AS INT) ORDER BY frame_index), -5, -1), ',') AS tail, CAST(count(*) FILTER (pin > {P.pin}) AS INT) AS n_hits FROM s GROUP BY lane_name",
+        "q_signal_digests": _with(SIGNALS) + "SELECT lane_name, CAST(count(*) AS INT) AS n, " + ", ".join(f"sha256(string_agg(CAST(CAST(floor({c} * CAST({u} AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS VARCHAR), ',' ORDER BY frame_index)) AS {n}" for c, u, n in (("conf", 100, "confidence_sha256"), ("pin", 1000, "pin_sha256"))) + " FROM s GROUP BY lane_name",
         "q_otsu": _with(PIXELS, ", c AS (SELECT frame_index, gray, count(*) AS n FROM px GROUP BY ALL), r AS (SELECT *, CAST(sum(n) OVER w AS BIGINT) AS ln, CAST(sum(n * gray) OVER w AS BIGINT) AS ls, CAST(sum(n) OVER p AS BIGINT) AS an, CAST(sum(n * gray) OVER p AS BIGINT) AS s FROM c WINDOW w AS (PARTITION BY frame_index ORDER BY gray ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY frame_index)), v AS (SELECT frame_index, gray, CASE WHEN ln * (an - ln) > 0 THEN CAST(ls * an - ln * s AS DOUBLE) * CAST(ls * an - ln * s AS DOUBLE) / (ln * (an - ln)) ELSE 0 END AS score FROM r)")
         + "SELECT frame_index, CASE WHEN score > 0 THEN gray ELSE 0 END AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY score DESC, gray) AS k FROM v) WHERE k = 1",
         "q_format_sanity": _chain(f"SELECT lane_name, n_shots, count(format) AS n_formats, coalesce(string_agg(format, ',' ORDER BY format), '') AS formats FROM (SELECT lane_name, count(*) AS n_shots FROM shots GROUP BY lane_name) LEFT JOIN (VALUES {presets}) AS p(format, a, b) ON n_shots BETWEEN a AND b GROUP BY lane_name, n_shots"),

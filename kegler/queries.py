@@ -320,6 +320,14 @@ def q_signal_arrays(spark, sf):
     return rows.select("lane_name", "n", tail.alias("tail"), hits.alias("n_hits"))
 
 
+@query
+def q_signal_digests(spark, sf):
+    """Digests of the whole arrays, in frame order: confidences in hundredths and motion in thousandths."""
+    rows = signals.as_arrays(fx.signals(spark, sf), ["lane_name"], ["bowler_confidence", "pin_motion"])
+    digest = lambda c, unit: F.sha2(F.array_join(F.transform(c, lambda x: F.floor(x * F.lit(float(unit)) + F.lit(0.5)).cast("string")), ","), 256)
+    return rows.select("lane_name", "n", digest("bowler_confidence", 100).alias("confidence_sha256"), digest("pin_motion", 1000).alias("pin_sha256"))
+
+
 @query
 def q_otsu(spark, sf):
     return colour.otsu_thresholds(fx.frame_pixels(spark, sf), ["frame_index"])

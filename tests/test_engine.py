@@ -267,3 +267,32 @@ def test_pandas_is_only_where_it_must_be(spark, sf):
         plan = f(spark, sf)._jdf.queryExecution().executedPlan().toString()
         if name not in ("q_ocr_fuzzy", "q_probe_shots", "q_linear_vs_probe", "q_shot_segments", "q_shot_summary", "q_clip_manifest", "q_reel_manifest", "q_lane_restricted", "q_format_sanity", "q_run_metrics"):
             assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_signal_digests_see_whole_arrays(spark, sf, monkeypatch):
+    import hashlib
+    import math
+
+    import duckdb
+    from pyspark.sql import Window as W
+
+    from kegler import fixtures, oracle, queries
+
+    rows = [r.asDict() for r in fixtures.signals(spark, sf).collect()]
+    want = {}
+    for lane in {r["lane_name"] for r in rows}:
+        own = sorted((r for r in rows if r["lane_name"] == lane), key=lambda r: r["frame_index"])
+        join = lambda c, unit: hashlib.sha256(",".join(str(math.floor(r[c] * unit + 0.5)) for r in own).encode()).hexdigest()  # noqa: B023, E731
+        want[lane] = (len(own), join("bowler_confidence", 100.0), join("pin_motion", 1000.0))
+    got = {r["lane_name"]: tuple(r)[1:] for r in queries.queries()["q_signal_digests"](spark, sf).collect()}
+    assert got == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    assert sorted(con.execute(oracle.oracle_sql()["q_signal_digests"]).fetchall()) == sorted((k, *v) for k, v in want.items())
+    # A motion that moves by one frame shows; the counts and tails of q_signal_arrays stay.
+    whole, arrays = fixtures.signals(spark, sf), queries.queries()["q_signal_arrays"](spark, sf).collect()
+    swapped = whole.withColumn("pin_motion", F.lag("pin_motion", 1, 0.0).over(W.partitionBy("lane_name").orderBy("frame_index")))
+    monkeypatch.setattr(fixtures, "signals", lambda *_: swapped)
+    moved = {r["lane_name"]: tuple(r)[1:] for r in queries.queries()["q_signal_digests"](spark, sf).collect()}
+    assert all(moved[k][:2] == want[k][:2] and moved[k][2] != want[k][2] for k in want)
+    assert {r["lane_name"]: r["tail"] for r in queries.queries()["q_signal_arrays"](spark, sf).collect()} == {r["lane_name"]: r["tail"] for r in arrays}
