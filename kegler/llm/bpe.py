@@ -1,8 +1,8 @@
-"""Byte-level BPE encoding and decoding by corpus-level merge replay.
+"""Byte-level BPE encoding and decoding by merge replay over the vocabulary of a slice of texts.
 
 The distinct pieces of a block of texts form its vocabulary. Their bytes lie in one array with
 links to the neighbours, and an inverted index leads from each pair of adjacent tokens to the
-positions where it stands. Merges are replayed in rank order over the whole vocabulary: a merge
+positions where it stands. Merges are replayed in rank order over that vocabulary: a merge
 visits just the positions of its pair and updates the two neighbours of each, whose new pairs join
 the index. A piece's merges depend on that piece alone, so blocks can be replayed apart, and each
 worker keeps the ids of chunks that it has seen (see ``vocabulary``).
