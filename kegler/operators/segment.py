@@ -1,7 +1,7 @@
 """Shots from signals: a setup run, an onset, an impact or its fallback, and a settled end.
 
 Every question that the search asks ("first frame from x on with ...") is a look-up that window
-functions, or reversed running minima, answer for all frames at once. What is left is the chain of
+functions, running minima in descending order, answer for all frames at once. What is left is the chain of
 candidates of a lane, which is sequential: a lane of a video is one group.
 """
 
@@ -32,19 +32,24 @@ def flags(signals: DataFrame, p: FrameParams) -> DataFrame:
 
 def lookups(signals: DataFrame, p: FrameParams, partition: list[str] = LANE) -> DataFrame:
     """Add n, next_break (first frame that isn't eligible, else n), next_move, next_hit, streak (lows
-    in a row up to here) and next_calm (first frame with a long enough streak); all from here on."""
+    in a row up to here) and next_calm (first frame with a long enough streak); all from here on.
+
+    What comes next is a running minimum in descending order, so a lane costs one pass each way.
+    """
     i = F.col("frame_index")
-    lane = W.partitionBy(*partition).orderBy("frame_index")
-    ahead, behind, whole = lane.rowsBetween(0, W.unboundedFollowing), lane.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*partition)
-    first = lambda c: F.min(F.when(c, i)).over(ahead)
+    upto = W.partitionBy(*partition).orderBy("frame_index").rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy(*partition).orderBy(i.desc()).rowsBetween(W.unboundedPreceding, 0)
+    first = lambda c: F.min(F.when(c, i)).over(back)
     rows = flags(signals, p).withColumns({
-        "n": F.count("*").over(whole),
-        "next_break": first(~F.col("eligible")),
+        "n": F.count("*").over(W.partitionBy(*partition)),
+        "streak": i - F.coalesce(F.max(F.when(~F.col("low"), i)).over(upto), F.lit(-1)),
+    })
+    return rows.withColumns({
+        "next_break": F.coalesce(first(~F.col("eligible")), "n"),
         "next_move": first(F.col("moving")),
         "next_hit": first(F.col("hit")),
-        "streak": i - F.coalesce(F.max(F.when(~F.col("low"), i)).over(behind), F.lit(-1)),
+        "next_calm": first(F.col("streak") >= p.settle_run),
     })
-    return rows.withColumn("next_break", F.coalesce("next_break", "n")).withColumn("next_calm", first(F.col("streak") >= p.settle_run))
 
 
 def setup_runs(signals: DataFrame, p: FrameParams, partition: list[str] = LANE) -> DataFrame:
@@ -61,18 +66,20 @@ def _at(rows: DataFrame, looked: DataFrame, place: Column, columns: list[str], p
     return rows.withColumn("_at", place).join(there, [*partition, "_at"], "left").drop("_at")
 
 
-def onsets(signals: DataFrame, p: FrameParams, partition: list[str] = LANE) -> DataFrame:
-    """Setup runs that end in motion: add ``onset``, the first moving frame from the run's end on, within budget."""
-    looked = lookups(signals, p, partition)
+def onsets(signals: DataFrame, p: FrameParams, partition: list[str] = LANE, looked: DataFrame | None = None) -> DataFrame:
+    """Setup runs that end in motion: add ``onset``, the first moving frame from the run's end on, within budget.
+
+    looked: the look-ups of the same signals, where a caller has them."""
+    looked = lookups(signals, p, partition) if looked is None else looked
     rows = _at(setup_runs(signals, p, partition), looked, F.col("run_end"), ["next_move"], partition)
     return rows.where(F.col("next_move") < F.col("run_end") + p.release).withColumnRenamed("next_move", "onset")
 
 
-def impacts(signals: DataFrame, p: FrameParams, partition: list[str] = LANE) -> DataFrame:
+def impacts(signals: DataFrame, p: FrameParams, partition: list[str] = LANE, looked: DataFrame | None = None) -> DataFrame:
     """Onsets with ``impact`` and ``gutter_fallback``: the first hit within budget, else a fixed
     distance from the onset, if the video is long enough for that."""
-    looked = lookups(signals, p, partition)
-    rows = _at(onsets(signals, p, partition), looked, F.col("onset"), ["next_hit", "n"], partition)
+    looked = lookups(signals, p, partition) if looked is None else looked
+    rows = _at(onsets(signals, p, partition, looked), looked, F.col("onset"), ["next_hit", "n"], partition)
     missed = F.coalesce(F.col("next_hit") >= F.col("onset") + p.impact, F.lit(True))
     rows = rows.withColumn("gutter_fallback", missed).withColumn("impact", F.when(missed, F.col("onset") + p.gutter).otherwise(F.col("next_hit")))
     return rows.where(~F.col("gutter_fallback") | (F.col("impact") < F.col("n"))).drop("next_hit")
@@ -82,7 +89,7 @@ def settles(signals: DataFrame, p: FrameParams, partition: list[str] = LANE) ->
     """Impacts with ``settle``: the end of the first calm run that begins at the impact or later, within
     budget, else the end of the budget or of the video; ``settled`` tells which."""
     looked = lookups(signals, p, partition)
-    rows = _at(impacts(signals, p, partition), looked, F.col("impact") + p.settle_run - 1, ["next_calm"], partition)
+    rows = _at(impacts(signals, p, partition, looked), looked, F.col("impact") + p.settle_run - 1, ["next_calm"], partition)
     found = F.coalesce(F.col("next_calm") < F.least(F.col("n"), F.col("impact") + p.settle), F.lit(False))
     return rows.withColumn("settled", found).withColumn("settle", F.when(found, F.col("next_calm")).otherwise(F.least(F.col("impact") + p.settle, F.col("n") - 1))).drop("next_calm")
 

@@ -266,7 +266,7 @@ def q_target_samples(spark, sf):
 
 @query
 def q_reference_persons(spark, sf):
-    """The first person in each lane's zone of every fifth order, taken as a reference image."""
+    """The first person in the zone of one lane of every order, taken as a reference image."""
     zoned = geometry.foot_in_zone(_boxes(spark, sf), fx.LANES).withColumn("image_id", F.col("frame_index"))
     images = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id"), F.when(F.col("o_orderkey") % 2 == 0, "left").otherwise("right").alias("lane_name"))
     return target.reference_persons(images, zoned).select("image_id", "lane_name", "det_idx", "x1", "y1", "x2", "y2")
@@ -300,7 +300,7 @@ def q_format_sanity(spark, sf):
 
 @query
 def q_shot_segments_sql(spark, sf):
-    """The counts by which relational and grouped forms must agree: candidates that settle, by lane."""
+    """Candidates that settle, by lane: what the relational form finds before the chain picks from them."""
     rows = segment.settles(fx.signals(spark, sf), fx.PARAMS)
     return rows.groupBy("lane_name").agg(F.count("*").alias("n_candidates"), F.count_if("gutter_fallback").alias("n_gutter"), F.count_if("settled").alias("n_settled"))
 
