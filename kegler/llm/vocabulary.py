@@ -9,8 +9,11 @@ on their neighbours, and each distinct chunk needs to be encoded only once per w
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space besides the blank and the line feed, in the widest sense of any of the libraries.
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ᠎           ​    　﻿"
@@ -44,62 +47,97 @@ class _Numbers(dict):
 class ChunkVocabulary:
     """Ids of distinct chunks, as one flat array with offsets, filled as texts come.
 
-    ``encode_chunks`` maps a list of distinct chunks to (flat ids, number of ids of each).
-    Beyond ``max_chunks`` entries the store starts anew, which bounds memory and changes no result.
+    ``encode_chunks`` maps a list of distinct chunks to (flat ids, number of ids of each). Beyond
+    ``max_chunks`` entries those that were met first, which are the frequent ones, stay, up to half as
+    many, and the others go: that bounds memory and changes no result.
     """
 
-    def __init__(self, encode_chunks, max_chunks: int = 400_000):
+    def __init__(self, encode_chunks, max_chunks: int = 200_000):
         self.encode_chunks, self.max_chunks = encode_chunks, max_chunks
-        self._reset()
-
-    def _reset(self) -> None:
         self.bare, self.spaced = _Numbers("", self), _Numbers(" ", self)
         self.fresh: list[str] = []
         self.size = 0
         self.ids = np.empty(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
 
+    def _shrink(self) -> None:
+        size = self.max_chunks // 2
+        for name in ("bare", "spaced"):
+            old = getattr(self, name)
+            new = _Numbers(old.prefix, self)
+            new.update((k, n) for k, n in old.items() if n < size)
+            setattr(self, name, new)
+        self.starts = self.starts[: size + 1].copy()
+        self.ids = self.ids[: self.starts[-1]].copy()
+        self.size = size
+
     def _absorb(self) -> None:
         if not self.fresh:
             return
         ids, counts = self.encode_chunks(self.fresh)
         used, n = int(self.starts[self.size]), self.size + len(self.fresh)
-        while used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.empty(used // 2 + len(ids), np.int32)])
+        if n + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts[: self.size + 1], np.zeros(n + n // 2, np.int64)])
         self.ids[used : used + len(ids)] = ids
         self.starts[self.size + 1 : n + 1] = used + np.cumsum(counts)
         self.size, self.fresh = n, []
 
-    def _numbers(self, text: str) -> list[int]:
+    def _number(self, text: str, out: array) -> None:
         bare, spaced = self.bare, self.spaced
         if not is_plain(text):
-            return [spaced[c[1:]] if c[:1] == " " else bare[c] for c in _CUT.split(text)] if text else []
-        out: list[int] = []
+            out.extend([spaced[c[1:]] if c[:1] == " " else bare[c] for c in _CUT.split(text)] if text else [])
+            return
         feed = bare["\n"]
         for k, line in enumerate(text.split("\n")):
             words = line.split(" ")
             if k:
                 out.append(feed)
             out.append(bare[words[0]])
-            out.extend(map(spaced.__getitem__, words[1:]))
-        return out
+            del words[0]
+            out.extend(map(spaced.__getitem__, words))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
         if self.size > self.max_chunks:
-            self._reset()
-        numbers = [self._numbers(t) for t in texts]
+            self._shrink()
+        numbers, edges = array("i"), [0]
+        for t in texts:
+            self._number(t, numbers)
+            edges.append(len(numbers))
         self._absorb()
-        chunk = np.fromiter((n for row in numbers for n in row), np.int64, sum(map(len, numbers)))
-        lens = self.starts[chunk + 1] - self.starts[chunk]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.starts[chunk] - (ends - lens), lens)]
-        edges = np.cumsum([0, *map(len, numbers)])
-        upto = np.concatenate([[0], ends])
-        return ids, upto[edges[1:]] - upto[edges[:-1]]
+        chunk = np.frombuffer(numbers, np.int32) if len(numbers) else np.empty(0, np.int32)
+        begins = self.starts[chunk]
+        lens = self.starts[chunk + 1] - begins
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(begins - upto[:-1], lens)]
+        return ids, np.diff(upto[edges])
+
+
+def text_slices(column: pa.Array, max_bytes: int = 1 << 21):
+    """(from, to) of runs of rows with about ``max_bytes`` of text: bounds what is worked on at once."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin = size = 0
+    for k, n in enumerate(sizes.tolist()):
+        if size and size + n > max_bytes:
+            yield begin, k
+            begin, size = k, 0
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: Python workers outlive their tasks, and what
+    they keep counts against the executor that runs other stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def slices(texts: list[str], max_chars: int = 1 << 21):
