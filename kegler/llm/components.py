@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kegler.llm.storage import materialize
+from kegler.llm.storage import Scratch
 
 #: Edges that a task contracts at once, in memory. A graph that has come down to so many is finished by one task.
 CHUNK = 200_000
@@ -64,13 +64,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of every node with an edge; the root is the least node of its component.
 
     Nodes are longs; loops, repeated edges and either direction are fine. Rounds are a logarithm of
     the longest path; each is written to the shared folder, so lineage doesn't grow. All steps are
-    joins and aggregations with partial minima: a node with very many edges is no task's alone.
+    joins and aggregations with partial minima; a node with very many edges is a skewed key of a join,
+    which adaptive execution splits. scratch: gets the written rounds, for a caller that deletes them.
     """
+    materialize = Scratch() if scratch is None else scratch
     now = materialize(contract(edges).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-start")
     state = None
     for k in range(max_rounds):

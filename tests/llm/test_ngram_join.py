@@ -85,6 +85,7 @@ def test_blocks_and_common_shingles_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 300)
     monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 3)
     monkeypatch.setattr(ngram_join, "SMALL_GROUP", 2)
+    monkeypatch.setattr(ngram_join, "TEXT_BYTES", 300)
     docs = planted(8)
     assert run(spark, docs) == brute(docs)
     rows = spark.createDataFrame(docs, "doc_id long, text string")
