@@ -16,7 +16,7 @@ run, are told by one dictionary look-up per word.
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -75,11 +75,16 @@ class Windows:
         grams = gram_hashes(mixed, length)[starts]
         order = np.lexsort((owners, grams))
         grams, starts, owners = grams[order], starts[order], owners[order]
-        self.hashes, first = np.unique(grams, return_index=True)
-        self.texts = ids[starts[first][:, None] + np.arange(length)]
-        # Hashes of 64 bits: two different windows with the same hash would be a fault of the index.
-        if not (ids[starts[:, None] + np.arange(length)] == np.repeat(self.texts, np.diff(np.append(first, len(grams))), axis=0)).all():
-            raise ValueError("two windows have the same hash")
+        texts = ids[starts[:, None] + np.arange(length)]
+        same_hash = grams[1:] == grams[:-1]
+        if (same_hash & (texts[1:] != texts[:-1]).any(axis=1)).any():
+            # Different windows with the same hash stand one after the other, by their words.
+            order = np.lexsort((owners, *texts.T[::-1], grams))
+            grams, texts, owners = grams[order], texts[order], owners[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (texts[1:] != texts[:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        self.hashes, self.texts = grams[first], texts[first]
         self.edges, self.owners = np.append(first, len(grams)), owners
 
     def find(self, ids: np.ndarray, mixed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +98,17 @@ class Windows:
             own += mixed[at + j]
         own ^= own >> np.uint64(32)
         which = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-        same = self.hashes[which] == own
-        at, which = at[same], which[same]
-        same = (ids[at[:, None] + np.arange(self.length)] == self.texts[which]).all(axis=1)
-        return at[same], which[same]
+        found = []
+        while len(at):
+            hashed = self.hashes[which] == own
+            at, which, own = at[hashed], which[hashed], own[hashed]
+            same = (ids[at[:, None] + np.arange(self.length)] == self.texts[which]).all(axis=1)
+            found.append((at[same], which[same]))
+            # Another window may have the same hash.
+            again = ~same & (which + 1 < len(self.hashes))
+            at, which, own = at[again], which[again] + 1, own[again]
+        at, which = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        return at, which
 
 
 class BlockIndex:
@@ -162,38 +174,36 @@ def _runs(ids: np.ndarray, least: int = 1):
     return zip(a[keep].tolist(), b[keep].tolist(), strict=True)
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str) -> list[list[tuple[str | None, bytes]]]:
-    """The items in blocks of bounded size. Items stream to the driver, which indexes them: the
-    benchmark is the stated query set, not the corpus."""
-    blocks: list[list[tuple[str | None, bytes]]] = [[]]
-    size = 0
+def _blocks(benchmark: DataFrame, key: str, text: str):
+    """The items in blocks of bounded size, one after the other. Items stream to the driver, which indexes
+    a block and hands it to the executors before it takes the next: the benchmark is the stated query set, not the corpus."""
+    block: list[tuple[str | None, bytes]] = []
+    size, n = 0, 0
     for row in benchmark.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("t is not null").toLocalIterator():
         data = row["t"].encode()
-        if blocks[-1] and size + len(data) > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["k"], data))
+        if block and size + len(data) > BLOCK_BYTES:
+            yield block
+            block, size, n = [], 0, n + 1
+        block.append((row["k"], data))
         size += len(data)
-    return blocks
-
-
-_OUT = "n_words long, hit array<int>, items array<string>"
+    if block or not n:
+        yield block
 
 
 def _scan(docs: DataFrame, block: list[tuple[str | None, bytes]], key: str, text: str, keep_hits: bool) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(BlockIndex(block))
 
     def run(batches):
-        from kegler.llm.vocabulary import slices
+        from kegler.llm.vocabulary import release, text_slices
 
         index = shipped.value
         get = index.number.get
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in text_slices(batch.column(1)):
                 flat: list[int] = []
                 edges = [0]
-                for t in texts[a:b]:
+                for t in batch.column(1).slice(a, b - a).cast(pa.binary()).to_pylist():
+                    t = t or b""
                     flat.extend(map(get, words_of(t), repeat(0)))
                     flat.append(0)
                     edges.append(len(flat))
@@ -215,6 +225,7 @@ def _scan(docs: DataFrame, block: list[tuple[str | None, bytes]], key: str, text
                 else:
                     out["n_hit"] = pa.array(np.add.reduceat(hit, edge[:-1]), pa.int64())
                 yield pa.RecordBatch.from_pydict(out)
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_words long, items array<string>, " + ("hit array<int>" if keep_hits else "n_hit long")
@@ -229,11 +240,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     null or empty document has no words. Rows that repeat give equal rows; other columns are ignored.
     """
     blocks = _blocks(benchmark, item_key, item_text)
-    if len(blocks) == 1:
-        return _scan(docs, blocks[0], key, text, False).select(F.col(key), "n_words", "n_hit", "items")
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scan(docs, first, key, text, False).select(F.col(key), "n_words", "n_hit", "items")
     # More blocks: gather what each found by row, told by its key and text.
     rows = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("row"), F.col(text).alias("t"))
-    scans = [_scan(rows, block, "row", "t", True).where("size(hit) > 0") for block in blocks]
+    scans = [_scan(rows, block, "row", "t", True).where("size(hit) > 0") for block in chain([first, second], blocks)]
     every = scans[0]
     for scan in scans[1:]:
         every = every.unionByName(scan)
@@ -257,12 +269,12 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without any word inside an occurrence of a benchmark window.
 
-    Their rows keep all columns; the verdict is worked out beside each row, without a join.
+    Their rows keep all columns, rows that repeat stay or go together; the verdict is worked out beside
+    each row, without a join. A null or empty text has no words and stays.
     """
-    blocks = _blocks(benchmark, "item_id", "text")
     names = docs.columns
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("t"))
-    for block in blocks:
+    for block in _blocks(benchmark, "item_id", "text"):
         scanned = _scan(left, block, "row", "t", False).where("n_hit = 0")
         left = scanned.select("row", F.col(f"row.`{text}`").alias("t"))
     return left.select("row.*")

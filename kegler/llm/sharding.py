@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kegler.llm.storage import materialize
+from kegler.llm.storage import discard, materialize
 
 #: Partitions of the matrix at most: physical partitions beyond share a row of it. 4096 x 16 counts are 0.5 MB.
 MAX_PARTITIONS = 4096
@@ -102,6 +102,7 @@ def uniform_shards(rows: DataFrame, n_shards: int = 16, seed: int = 0) -> DataFr
     n_cells = max(4, -(-total // (n_shards * ROWS_PER_CELL)))
     mixed = dealt.select("row", "rid", "shard", F.xxhash64(F.lit(seed), F.lit(2), "rid").alias("r")).withColumn("cell", F.pmod(F.shiftrightunsigned("r", 20), F.lit(n_cells)).cast("int"))
     mixed = materialize(mixed, "shard-dealt")
+    discard(placed)
     sums = mixed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = sums.select("shard", "cell", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     second = W.partitionBy("shard", "cell").orderBy("r", "rid")
