@@ -40,19 +40,30 @@ def op5() -> str:
     """Base counts and the concentration steps of ``quality``, one after the other."""
     from kegler.llm import quality as q
 
-    f = [(x / q.UNIT) ** 2 for x in q.FLOORS]
-    d = [f"((x{k} - m{k}) / CAST({q.UNIT} AS DOUBLE))" for k in (1, 2, 3)]
-    s11, s22, s33 = (f"(s{k}{k} + CAST({f[k - 1]!r} AS DOUBLE))" for k in (1, 2, 3))
-    i11, i22, i33 = f"({s22} * {s33} - s23 * s23)", f"({s11} * {s33} - s13 * s13)", f"({s11} * {s22} - s12 * s12)"
-    i12, i13, i23 = f"(s13 * s23 - s12 * {s33})", f"(s12 * s23 - s13 * {s22})", f"(s12 * s13 - {s11} * s23)"
-    det = f"({s11} * {i11} + s12 * {i12} + s13 * {i13})"
-    a, b, c = d
-    two = "CAST(2 AS DOUBLE)"
-    distance = f"(({a} * {a} * {i11} + {b} * {b} * {i22} + {c} * {c} * {i33} + {two} * ({a} * {b} * {i12} + {a} * {c} * {i13} + {b} * {c} * {i23})) / {det})"
+    dims = range(1, q.P + 1)
+    pairs = [(x, y) for x in dims for y in range(x, q.P + 1)]
+    dbl = lambda x: f"CAST({x!r} AS DOUBLE)"
     join = "ON r.lang IS NOT DISTINCT FROM e.lang AND r.source IS NOT DISTINCT FROM e.source"
-    share = lambda x, of: f"ln(CAST(1 AS DOUBLE) + CAST(100 AS DOUBLE) * {x} / {of})"
-    unit = lambda x: f"CAST(floor({x} * {q.UNIT} + CAST(0.5 AS DOUBLE)) AS BIGINT)"
-    pairs = [(x, y) for x in (1, 2, 3) for y in range(x, 4)]
+    share = lambda x, of: f"ln({dbl(1)} + {dbl(100)} * {x} / {of})"
+    unit = lambda x: f"CAST(floor({x} * {q.UNIT} + {dbl(0.5)}) AS BIGINT)"
+    words, chars = "greatest(n_words, 1)", "greatest(word_chars, 1)"
+
+    def factored(table: str) -> str:
+        """The scatter as L D L', column by column."""
+        inner = f"SELECT * FROM {table}"
+        for k in dims:
+            d = f"s{k}{k} + {dbl((q.FLOORS[k - 1] / q.UNIT) ** 2)}" + "".join(f" - l{k}{j} * l{k}{j} * d{j}" for j in range(1, k))
+            inner = f"SELECT *, {d} AS d{k} FROM ({inner})"
+            rest = [f"(s{k}{i}" + "".join(f" - l{k}{j} * l{i}{j} * d{j}" for j in range(1, k)) + f") / d{k} AS l{i}{k}" for i in range(k + 1, q.P + 1)]
+            inner = f"SELECT *, {', '.join(rest)} FROM ({inner})" if rest else inner
+        return f"SELECT *, {' * '.join(f'd{k}' for k in dims)} AS det FROM ({inner})"
+
+    def distances(table: str) -> str:
+        inner = f"SELECT r.*, e.* EXCLUDE (lang, source) FROM r LEFT JOIN {table} AS e {join}"
+        for k in dims:
+            inner = f"SELECT *, (x{k} - m{k}) / CAST({q.UNIT} AS DOUBLE)" + "".join(f" - l{k}{j} * y{j}" for j in range(1, k)) + f" AS y{k} FROM ({inner})"
+        return f"SELECT *, {' + '.join(f'y{k} * y{k} / d{k}' for k in dims)} AS distance FROM ({inner})"
+
     out = rf"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -71,38 +82,49 @@ WITH w AS (
   FROM w JOIN lines ON w.doc_id = lines.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id
 ), b AS (
   SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-         {unit("ln(CAST(greatest(word_chars, 1) AS DOUBLE) / greatest(n_words, 1))")} AS x1,
-         {unit(share("n_symbols", "greatest(word_chars, 1)"))} AS x2, {unit(share("n_repeat_words", "greatest(n_words, 1)"))} AS x3
+         {unit(f"ln(CAST({chars} AS DOUBLE) / {words})")} AS x1, {unit(share("n_symbols", chars))} AS x2,
+         {unit(share("n_repeat_words", words))} AS x3, {unit(share("n_dup_lines", words))} AS x4
   FROM c
-), r AS (
+), r AS MATERIALIZED (
   SELECT * FROM b WHERE NOT base_failed
-), med AS (
-  SELECT lang, source, k, min(v) AS v FROM (
+), cuts AS (
+  SELECT lang, source, k, {", ".join(f"CAST(min(CASE WHEN upto >= {dbl(at)} * total THEN v END) AS DOUBLE) AS {name}" for name, at in (("a", 0.25), ("b", 0.5), ("c", 0.75)))} FROM (
     SELECT lang, source, k, v, sum(n) OVER (PARTITION BY lang, source, k ORDER BY v) AS upto, sum(n) OVER (PARTITION BY lang, source, k) AS total
-    FROM (SELECT lang, source, e.k AS k, e.v AS v, count(*) AS n FROM (SELECT lang, source, unnest([{", ".join(f"{{'k': {k}, 'v': x{k}}}" for k in (1, 2, 3))}]) AS e FROM r) GROUP BY ALL)
-  ) WHERE upto >= CAST(0.5 AS DOUBLE) * total GROUP BY lang, source, k
-), e0 AS (
-  SELECT lang, source, {", ".join(f"CAST(max(CASE WHEN k = {k} THEN v END) AS DOUBLE) AS m{k}" for k in (1, 2, 3))}, {", ".join(f"CAST(0 AS DOUBLE) AS s{x}{y}" for x, y in pairs)}
-  FROM med GROUP BY lang, source
-)"""
+    FROM (SELECT lang, source, e.k AS k, e.v AS v, count(*) AS n FROM (SELECT lang, source, unnest([{", ".join(f"{{'k': {k}, 'v': x{k}}}" for k in dims)}]) AS e FROM r) GROUP BY ALL)
+  ) GROUP BY lang, source, k
+), wide AS (
+  SELECT lang, source, {", ".join(f"max(CASE WHEN k = {k} THEN {c} END) AS {c}{k}" for k in dims for c in "abc")} FROM cuts GROUP BY lang, source
+), e0 AS MATERIALIZED (
+"""
+    starts = []
+    for number, (c, spread) in enumerate((("b", False), ("b", True), ("a", True), ("c", True))):
+        sd = lambda k: f"((c{k} - a{k}) / {dbl(q.UNIT * q.QUARTILES)})"
+        scatter = ", ".join((f"{sd(x)} * {sd(x)}" if spread and x == y else dbl(0.0)) + f" AS s{x}{y}" for x, y in pairs)
+        starts.append(f"  SELECT lang, source, {number} AS start, {', '.join(f'{c}{k} AS m{k}' for k in dims)}, {scatter} FROM wide")
+    out += " UNION ALL\n".join(starts) + "\n)"
+    moments = ["n", *(f"t{k}" for k in dims), *(f"t{x}{y}" for x, y in pairs)]
     for k in range(q.STEPS):
-        out += f""", near{k} AS (
-  SELECT r.lang AS lang, r.source AS source, x1, x2, x3, CAST(floor(ln(CAST(1 AS DOUBLE) + {distance}) * {q.BINS}) AS BIGINT) AS v FROM r JOIN e{k} AS e {join}
-), cut{k} AS (
-  SELECT lang, source, min(v) AS cut FROM (
-    SELECT lang, source, v, sum(n) OVER (PARTITION BY lang, source ORDER BY v) AS upto, sum(n) OVER (PARTITION BY lang, source) AS total
-    FROM (SELECT lang, source, v, count(*) AS n FROM near{k} GROUP BY ALL)
-  ) WHERE upto >= CAST({q.KEPT} AS DOUBLE) * total GROUP BY lang, source
-), e{k + 1} AS (
-  SELECT lang, source, {", ".join(f"CAST(t{x} AS DOUBLE) / n AS m{x}" for x in (1, 2, 3))},
-         {", ".join(f"CAST(CAST(n AS HUGEINT) * t{x}{y} - t{x} * t{y} AS DOUBLE) / (CAST(n AS DOUBLE) * n) / CAST({q.UNIT * q.UNIT} AS DOUBLE) * CAST({q.CONSISTENCY} AS DOUBLE) AS s{x}{y}" for x, y in pairs)}
-  FROM (SELECT r.lang AS lang, r.source AS source, count(*) AS n, {", ".join(f"sum(x{x}) AS t{x}" for x in (1, 2, 3))}, {", ".join(f"sum(x{x} * x{y}) AS t{x}{y}" for x, y in pairs)}
-        FROM near{k} AS r JOIN cut{k} AS e {join} WHERE v <= cut GROUP BY r.lang, r.source)
+        out += f""", f{k} AS MATERIALIZED (
+  {factored(f"e{k}")}
+), bins{k} AS (
+  SELECT lang, source, start, CAST(floor(ln({dbl(1)} + distance) * {q.BINS}) AS BIGINT) AS v, count(*) AS n,
+         {", ".join(f"sum(x{x}) AS t{x}" for x in dims)}, {", ".join(f"sum(x{x} * x{y}) AS t{x}{y}" for x, y in pairs)}
+  FROM ({distances(f"f{k}")}) GROUP BY lang, source, start, v
+), e{k + 1} AS MATERIALIZED (
+  SELECT lang, source, start, {", ".join(f"CAST(t{x} AS DOUBLE) / n AS m{x}" for x in dims)},
+         {", ".join(f"CAST(CAST(n AS HUGEINT) * t{x}{y} - t{x} * t{y} AS DOUBLE) / (CAST(n AS DOUBLE) * n) / CAST({q.UNIT * q.UNIT} AS DOUBLE) * {dbl(q.CONSISTENCY)} AS s{x}{y}" for x, y in pairs)}
+  FROM (SELECT lang, source, start, {", ".join(f"sum({c}) AS {c}" for c in moments)} FROM (
+    SELECT *, sum(n) OVER (PARTITION BY lang, source, start ORDER BY v) AS upto, sum(n) OVER (PARTITION BY lang, source, start) AS total FROM bins{k}
+  ) WHERE upto - n < {dbl(q.KEPT)} * total GROUP BY lang, source, start)
 )"""
-    return out + f"""
+    return out + f""", best AS (
+  SELECT * FROM ({factored(f"e{q.STEPS}")}) QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY det, start) = 1
+), judged AS (
+  {distances("best").replace("FROM r LEFT JOIN", "FROM b AS r LEFT JOIN")}
+)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce({distance} <= CAST({q.CUTOFF} AS DOUBLE), false) AS kept
-FROM b AS r LEFT JOIN e{q.STEPS} AS e {join}
+       NOT base_failed AND coalesce(distance <= {dbl(q.CUTOFF)}, false) AS kept
+FROM judged
 """
 
 

@@ -19,33 +19,65 @@ def counts(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
 
 
+# The method's numbers, stated anew: regularisation, and chi-square quantiles of four dimensions from tables.
+FLOORS, KEPT, CUTOFF, CONSISTENCY = (0.1, 0.3, 0.6, 0.6), 0.75, 47.879456, 1.48636
+
+
+def test_constants():
+    """The cutoff leaves 1e-9 of a normal group out; the kept share's scatter is that much too small."""
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((400_000, 4))
+    near = np.sort((x**2).sum(axis=1).argsort()[:300_000])
+    assert abs(1 / x[near].var() - quality.CONSISTENCY) < 0.01 and abs(quality.CONSISTENCY - CONSISTENCY) < 1e-4
+    assert abs(math.exp(-quality.CUTOFF / 2) * (1 + quality.CUTOFF / 2) - 1e-9) < 1e-12 and abs(quality.CUTOFF - CUTOFF) < 1e-3
+
+
+def mcd(x):
+    """Location and regularised scatter: the least determinant of what four starts come to."""
+    h, floor = math.ceil(KEPT * len(x) - 1e-9), np.diag(np.square(FLOORS))
+    a, b, c = (np.sort(x, axis=0)[math.ceil(q * len(x)) - 1] for q in (0.25, 0.5, 0.75))
+    spread, found = np.diag(((c - a) / 1.349) ** 2), []
+    for m, s in ((b, spread * 0), (b, spread), (a, spread), (c, spread)):
+        for _ in range(10):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s + floor), x - m)
+            bins = np.floor(np.log(1 + d) * 100)
+            own = x[bins <= np.sort(bins)[h - 1]]
+            m, s = own.mean(axis=0), np.cov(own.T, bias=True).reshape(4, 4) * CONSISTENCY
+        found.append((np.linalg.det(s + floor), len(found), m, s + floor))
+    return min(found, key=lambda f: f[:2])[2:]
+
+
 def brute(docs):
     """docs: (id, text, lang, source). The same rules with numpy, group by group."""
     base, groups = {}, defaultdict(list)
     for i, t, lang, source in docs:
         n, c, s, d, r = counts(t)
         failed = n < 50 or 100 * r > 50 * n
-        x = [math.floor(v * 10000 + 0.5) for v in (math.log(max(c, 1) / max(n, 1)), math.log(1 + 100 * s / max(c, 1)), math.log(1 + 100 * r / max(n, 1)))]
+        words, chars = max(n, 1), max(c, 1)
+        x = [math.floor(v * 10000 + 0.5) / 10000 for v in (math.log(chars / words), *(math.log(1 + 100 * v / of) for v, of in ((s, chars), (r, words), (d, words))))]
         base[i] = (n, c, s, d, r, failed)
         if not failed:
             groups[lang, source].append((i, x))
     kept = dict.fromkeys(base, False)
-    floor = np.diag([(x / quality.UNIT) ** 2 for x in quality.FLOORS])
     for rows in groups.values():
         x = np.array([v for _, v in rows], float)
-        h = math.ceil(quality.KEPT * len(x) - 1e-9)
-        m = np.sort(x, axis=0)[math.ceil(len(x) / 2) - 1]
-        s = np.zeros((3, 3))
-        dist = lambda: np.einsum("ij,jk,ik->i", (x - m) / quality.UNIT, np.linalg.inv(s + floor), (x - m) / quality.UNIT)  # noqa: B023, E731
-        for _ in range(quality.STEPS):
-            bins = np.floor(np.log(1 + dist()) * quality.BINS)
-            own = x[bins <= np.sort(bins)[h - 1]]
-            m, s = own.mean(axis=0), np.cov(own.T, bias=True).reshape(3, 3) / quality.UNIT**2 * quality.CONSISTENCY
-        for (i, _), d in zip(rows, dist()):
-            kept[i] = bool(d <= quality.CUTOFF)
+        m, s = mcd(x)
+        for (i, _), d in zip(rows, np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)):
+            kept[i] = bool(d <= CUTOFF)
     return {i: (*b, kept[i]) for i, b in base.items()}
 
 
+def test_repeated_lines_alone_can_reject(spark):
+    """Each statistic can decide: here nothing but repeated short lines differs."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    docs = [(k, "\n".join(prose(8) for _ in range(12)), "en", "s") for k in range(80)]
+    docs.append((100, "\n".join([prose(60), *(["yes ok", "no ok"] * 120)]), "en", "s"))
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality(rows).collect()}
+    assert all(got[k]["kept"] for k in range(80)) and not got[100]["kept"]
+
+
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
