@@ -1,8 +1,10 @@
 """Personal data: patterns, and weak supervision for what patterns alone can't decide.
 
 Base spans are matches of strict patterns that pass their checks; they always stay. Looser patterns
-give further candidates (masked e-mail addresses, defanged or version-6 addresses, card numbers
-whose check digit is wrong, telephone numbers without a plus). Labelers, namely patterns, validity
+and gazetteers give further candidates: masked e-mail addresses, defanged or version-6 addresses, card
+numbers whose check digit is wrong, telephone numbers without a plus; secrets, by known prefixes, by
+assignment to a word such as ``token``, or as long mixed runs; persons, by titles, given names and
+introductions; postal addresses, by street words of four languages. Labelers, namely patterns, validity
 checks, gazetteers and context words, vote on every candidate, base spans included. The votes of all
 documents are counted by pattern; expectation-maximisation estimates each labeler's reliability for
 each kind from those counts, and a logistic classifier over votes and the shape of a span is trained
@@ -15,7 +17,9 @@ takes the same time at any size. Documents are scanned twice and never shuffled.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -23,7 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+#: The first four have base patterns.
+KINDS = ("email", "ip", "card", "phone", "secret", "person", "address")
+BASE = KINDS[:4]
+SECRET, PERSON, ADDRESS = 4, 5, 6
 #: Probability from which on a candidate becomes a span.
 ACCEPT = 0.9
 
@@ -52,6 +59,44 @@ _CONTEXT = {
     "card": re.compile(r"\b(?:card|credit|debit|visa|mastercard|amex|pan|karte|carte|tarjeta)\b", re.I),
     "phone": re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|telefon|téléphone|teléfono|anruf)\b", re.I),
 }
+_CONTEXT |= {
+    "secret": re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|contraseña|passwort|mot de passe)", re.I),
+    "person": re.compile(r"\b(?:my name is|name:|signed|sincerely|regards|author|contact|ich heiße|mein name ist|je m.appelle|me llamo|mi nombre es|nom|nombre)\b", re.I),
+    "address": re.compile(r"\b(?:address|lives? at|living at|resides|ship to|deliver to|adresse|anschrift|wohnt|wohnhaft|domicilio|dirección|habite|demeurant)\b", re.I),
+}
+# Secrets. Words that one is assigned to, before a sign; prefixes that issuers give.
+_ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credentials?|contraseña|passwort)[\"']?[ \t]*$", re.I)
+_VALUE = re.compile(r"[=:>]?[ \t]*[\"'`]?([^\s\"'`,;<>(){}\[\]]{8,})")
+_PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)")
+_PREFIXES = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "AIza", "eyJ")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}+")
+# Titles, common given names, words that introduce a person.
+_TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Sr Sra Don Doña Monsieur Madame Mme Mlle".split())
+_GIVEN = frozenset(
+    "Alice Andrea Andreas Anna Anne Antonio Barbara Benjamin Bernard Carlos Carmen Catherine Charles Charlotte Christian Christine Claire "
+    "Claudia Daniel David Diego Dorothy Elena Elizabeth Emily Emma Fernando Francisco Franz Frédéric Friedrich Gabriel George Hannah Hans "
+    "Heinrich Helen Henri Henry Isabel Jacques James Javier Jean Jennifer Jessica Johann Johannes John Jorge José Joseph Juan Julia Julie "
+    "Jürgen Karen Karl Katharina Klaus Laura Lucía Luis Manuel Margaret María Maria Marie Mark Martin Mary Matthew Michael Michel Miguel "
+    "Nathalie Nicolas Olivier Pablo Patricia Paul Pedro Peter Philippe Pierre Rafael Richard Robert Rosa Sabine Sarah Sebastian Sofía Sophie "
+    "Stefan Stephen Susan Susanne Sylvie Teresa Thomas Ursula Wolfgang".split()
+)
+_NAME = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+"
+_PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(sorted(_TITLES))})\b\.?[ ](?P<a>{_NAME}(?:[ ]{_NAME}){{0,2}})|(?P<b>(?:{'|'.join(sorted(_GIVEN))})(?:[ ]{_NAME}){{1,2}})|(?:[Mm]y name is|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m.appelle|[Mm]e llamo|[Mm]i nombre es)[ ](?P<c>{_NAME}(?:[ ]{_NAME}){{0,2}}))")
+_INTRODUCE = frozenset("name heiße Name appelle m'appelle m’appelle llamo nombre".split())
+# Street words of the four languages.
+_STREETS = frozenset("Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Court Square rue avenue boulevard place chemin impasse Calle Avenida Plaza Paseo".split())
+_ADDRESS = re.compile(
+    rf"\b[0-9]{{1,5}}[ ](?:{_NAME}[ ]){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)\b"
+    rf"|\b{_NAME[:-1]}*(?:straße|strasse|weg|platz|allee|gasse)[ ][0-9]{{1,4}}[a-z]?\b"
+    rf"|\b[0-9]{{1,4}},?[ ](?:rue|avenue|boulevard|place|chemin|impasse)[ ](?:(?:de|du|des|la|le)[ ]|de l['’]|l['’])*{_NAME}"
+    rf"|\b(?:Calle|Avenida|Plaza|Paseo)[ ](?:(?:de|del|la|las|los)[ ])*{_NAME},?[ ][0-9]{{1,4}}\b"
+)
+_POSTAL = re.compile(r"[ ,\n-]*(?:[A-Z]{1,2}[ -]?)?[0-9]{4,5}\b")
+_GERMAN_STREET = re.compile(r"(?:straße|strasse|weg|platz|allee|gasse)[ ][0-9]")
+#: Words whose presence makes a text worth a search for persons or addresses.
+_TRIGGERS = _TITLES | {f"{t}." for t in _TITLES} | _GIVEN | _INTRODUCE | _STREETS | {f"{t}{c}" for t in _STREETS for c in ".,;"}
+#: Length from which on a run of letters and digits may be a secret.
+LONG_RUN = 32
 _AGAINST = re.compile(r"\b(?:version|release|isbn|order|invoice|serial|hash|checksum|sku|item|figure|section|doi)\b", re.I)
 WIDTH = 40
 LABELERS = ("pattern", "valid", "gazetteer", "context", "edges")
@@ -104,11 +149,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _loose_spans(text: str) -> list[tuple[int, int, int]]:
-    out = []
+    out, end = [], 0
     for m in _AT.finditer(text):
         begin = m.start()
-        while begin and m.start() - begin < 64 and text[begin - 1] in _LOCAL:
+        while begin > end and text[begin - 1] in _LOCAL:
             begin -= 1
+        end = m.end()  # so no character is looked at twice
         domain = _AT_DOMAIN.match(text, m.end())
         if begin < m.start() and domain:
             out.append((0, begin, domain.end()))
@@ -123,34 +169,68 @@ def _loose_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _is_mixed(value: str) -> bool:
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def _secrets(text: str, words: list[str]) -> list[tuple[int, int, int]]:
+    out = []
+    for sign in "=:":
+        at = text.find(sign)
+        while at >= 0:
+            if _ASSIGNED.search(text, max(0, at - 24), at) and (m := _VALUE.match(text, at + 1)) and _is_mixed(m[1]):
+                out.append((SECRET, m.start(1), m.end(1)))
+            at = text.find(sign, at + 1)
+    if any(p in text for p in _PREFIXES):
+        out += [(SECRET, m.start(), m.end()) for m in _PREFIXED.finditer(text)]
+    at = 0
+    for w in words:
+        if len(w) >= LONG_RUN:
+            at = text.find(w, at)
+            out += [(SECRET, m.start(), m.end()) for m in _RUN.finditer(text, at, at + len(w)) if _is_mixed(m[0])]
+            at += len(w)
+    return out
+
+
+def _people(text: str) -> list[tuple[int, int, int]]:
+    out = []
+    for m in _PERSON.finditer(text):
+        group = "a" if m["a"] else "b" if m["b"] else "c"
+        out.append((PERSON, m.start(group), m.end(group)))
+    return out + [(ADDRESS, m.start(), m.end()) for m in _ADDRESS.finditer(text)]
+
+
 def candidates(text: str) -> list[tuple[tuple[int, int, int], bool]]:
     """((kind, start, end), whether a base span). A looser candidate overlaps no span before it."""
     base = base_spans(text)
     out = [(s, True) for s in base]
-    if not re.search(r"[0-9]{3}|\bat\b|[:(\[{]", text, re.I):
+    loose = _loose_spans(text) if re.search(r"[0-9]{3}|\bat\b|[:(\[{]", text, re.I) else []
+    words = text.split()
+    loose += _secrets(text, words)
+    if not _TRIGGERS.isdisjoint(words) or _GERMAN_STREET.search(text):
+        loose += _people(text)
+    if not loose:
         return out
-    taken = sorted((a, b) for _, a, b in base)
-    for s in sorted(_loose_spans(text), key=lambda x: (x[1], -x[2], x[0])):
-        if all(s[2] <= a or b <= s[1] for a, b in _near(taken, s[1], s[2])):
+    # What is taken, as disjoint ranges in order, so that neighbours tell all overlaps.
+    begins, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    for s in sorted(set(loose), key=lambda x: (x[1], -x[2], x[0])):
+        at = bisect_left(begins, s[2])
+        if at == 0 or ends[at - 1] <= s[1]:
             out.append((s, False))
-            taken.insert(_place(taken, s[1]), (s[1], s[2]))
+            begins.insert(at, s[1])
+            ends.insert(at, s[2])
     return out
 
 
-def _place(taken: list[tuple[int, int]], start: int) -> int:
-    from bisect import bisect_left
-
-    return bisect_left(taken, (start, -1))
-
-
-def _near(taken: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
-    """Spans that may overlap [a, b): base spans of different kinds overlap few others."""
-    k = _place(taken, a)
-    found = taken[max(0, k - 4) : k]
-    while k < len(taken) and taken[k][0] < b:
-        found.append(taken[k])
-        k += 1
-    return found
+def _entropy(text: str) -> float:
+    """Bits per character, of the text's own frequencies."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
 
 
 def features(text: str, span: tuple[int, int, int], base: bool) -> tuple[int, ...]:
@@ -166,14 +246,29 @@ def features(text: str, span: tuple[int, int, int], base: bool) -> tuple[int, ..
         known = 1 if digits.startswith(("0", "127", "255")) else 2
     elif kind == 2:
         valid, known = 2 if luhn(digits) else 0, 2 if _IIN.match(digits) else 0
-    else:
+    elif kind == 3:
         valid = 2 if 9 <= len(digits) <= 15 else 0
         known = 2 if base and _CALLING.match(digits) else 1
+    elif kind == SECRET:
+        valid = 2 if len(s) >= 16 and _entropy(s) >= 3 else 1
+        known = 2 if _ASSIGNED.search(before.rstrip("\"'` \t").rstrip("=:> \t")) else 0
+    elif kind == PERSON:
+        valid = 2 if 2 <= len(s.split()) <= 3 else 1
+        known = 2 if s.split()[0] in _GIVEN else 1
+    else:
+        valid, known = 2 if _POSTAL.match(text, b) else 1, 2
     context = 2 if _CONTEXT[KINDS[kind]].search(before) else 0 if _AGAINST.search(before) else 1
     edges = 2 if (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum()) else 0
+    if kind == SECRET:
+        pattern = 2 if _PREFIXED.fullmatch(s) else 1 if known else 0
+    elif kind == PERSON:
+        title = before.rstrip(" ").rstrip(".").rsplit(" ", 1)[-1].rsplit("\n", 1)[-1]
+        pattern = 2 if title in _TITLES else 1
+    else:
+        pattern = 2 if base or kind == ADDRESS else 0
     size = 0 if b - a < 12 else 1 if b - a < 20 else 2 if b - a < 40 else 3
     share = min(2, 3 * len(digits) // (b - a))
-    return kind, 2 if base else 0, valid, known, context, edges, size, share
+    return kind, pattern, valid, known, context, edges, size, share
 
 
 class Model:
@@ -223,7 +318,9 @@ class Model:
     @staticmethod
     def _row(p: tuple[int, ...]) -> np.ndarray:
         out = [1.0] + [float(p[0] == k) for k in range(len(KINDS))]
+        # A labeler's vote counts by kind, besides what it counts for all.
         out += [float(v - 1) for v in p[1 : len(LABELERS) + 1]]
+        out += [float(v - 1) if p[0] == k else 0.0 for k in range(len(KINDS)) for v in p[1 : len(LABELERS) + 1]]
         return np.array(out + [float(p[-2] == k) for k in range(4)] + [float(p[-1] == k) for k in range(3)])
 
     def probability(self, p: tuple[int, ...]) -> float:
@@ -252,7 +349,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             yield pa.RecordBatch.from_pydict({c: pa.array([p[k] for p, _ in rows], pa.int32()) for k, c in enumerate(_SHAPE)} | {"n": pa.array([n for _, n in rows], pa.int64())})
 
     votes = docs.select(text).mapInArrow(count, ", ".join(f"`{c}` int" for c in _SHAPE) + ", n long")
-    # At most 4 * 3^5 * 4 * 3 patterns, whatever the corpus.
+    # At most 7 * 3^5 * 4 * 3 patterns, whatever the corpus.
     counts = {tuple(r[c] for c in _SHAPE): r["n"] for r in votes.groupBy(*_SHAPE).agg(F.sum("n").alias("n")).collect()}
     return Model(counts)
 
@@ -262,28 +359,30 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For every document: key, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """For every document: key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans.
 
-    Counts and the digest are of the base spans, ``spans`` names all of them; places are code points,
-    ends exclusive. A null text is empty, repeated rows give equal rows, other columns are ignored.
+    The first four counts and the digest are of the base spans, ``spans`` names all spans, ``n_spans`` is their
+    number and ``n_secret`` that of secrets among them; places are code points, ends exclusive. A null text is empty, repeated rows give equal rows, other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, text))
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {f"n_{k}": [] for k in KINDS} | {"base_sha256": [], "spans": []}
+            out: dict[str, list] = {f"n_{k}": [] for k in BASE} | {"base_sha256": [], "spans": [], "n_secret": [], "n_spans": []}
             for t in batch.column(1).to_pylist():
                 base, every = model.value.spans(t or "")
                 n = Counter(k for k, _, _ in base)
-                for k, name in enumerate(KINDS):
+                for k, name in enumerate(BASE):
                     out[f"n_{name}"].append(n[k])
+                out["n_secret"].append(sum(k == SECRET for k, _, _ in every))
+                out["n_spans"].append(len(every))
                 out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
                 out["spans"].append(joined(every))
             kinds = {c: pa.string() if c in ("base_sha256", "spans") else pa.int64() for c in out}
             yield pa.RecordBatch.from_pydict({key: batch.column(0)} | {c: pa.array(v, kinds[c]) for c, v in out.items()})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
