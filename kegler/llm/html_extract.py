@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kegler.llm.vocabulary import slices
+from kegler.llm.vocabulary import text_slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -55,7 +55,7 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "kind", "dropped", "points", "chars", "linked", "in_article", "above", "part", "text", "links", "parts", "inner", "title", "prose", "first", "factor", "barrier")
+    __slots__ = ("tag", "parent", "depth", "kind", "dropped", "points", "chars", "linked", "in_article", "above", "part", "text", "links", "parts", "inner", "title", "prose", "first", "factor", "barrier", "within")
 
     def __init__(self, tag: str, parent: "_Node | None", kind: int):
         self.tag, self.parent, self.kind = tag, parent, kind
@@ -64,6 +64,7 @@ class _Node:
         self.points = 0.0
         self.chars = self.linked = 0
         self.in_article = parent is not None and (parent.in_article or parent.tag == "article")
+        self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
         # Articles and main parts around it, and the nearest; then what is in it: characters outside links
         # and inside, articles and main parts, elements that are articles, titles, paragraphs, the first block.
         self.above = parent.above + parent.is_part() if parent else 0
@@ -81,14 +82,7 @@ def _furniture(tag: str, attributes: str, parent: _Node) -> int:
     if tag in _DROP:
         return _HARD
     if tag == "header":
-        up: _Node | None = parent
-        for _ in range(6):
-            if up is None:
-                break
-            if up.tag in ("article", "main"):
-                return _NO
-            up = up.parent
-        return _HARD
+        return _NO if parent.within or parent.tag in ("article", "main") else _HARD
     if not attributes:
         return _FORM if tag == "form" else _NO
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
@@ -241,26 +235,29 @@ def _judge(page: _Page) -> None:
     page.blocks = [b for b in page.blocks if not b[0].dropped]
 
 
-_LEVELS = 6
+#: Share of its points that an element passes on to the one around it.
+_PASSED = 0.5
+# Elements that are no containers of their own.
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 pre li dt dd td th figcaption blockquote".split())
 
 
-def _score(page: _Page) -> dict[int, _Node]:
-    """Points, characters and linked characters of the elements around each block."""
-    seen: dict[int, _Node] = {}
+def _score(page: _Page) -> list[_Node]:
+    """Points, characters and linked characters of the elements around blocks: each block's go to its
+    container, and from the inside out a share of them to whatever is around that, however deep."""
     for node, text, linked in page.blocks:
         points = 1.0 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100.0, 3.0)
         points *= (1.0 - min(1.0, linked / len(text))) * node.factor
         # A paragraph is no container: its points go to what holds it.
-        up = node.parent if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "dt", "dd", "td", "th", "figcaption", "blockquote") and node.parent else node
-        for level in range(_LEVELS):
-            if up is None:
-                break
-            seen[id(up)] = up
-            up.points += points / (level + 1)
-            up.chars += len(text)
-            up.linked += linked
-            up = up.parent
-    return seen
+        up = node.parent if node.tag in _LEAVES and node.parent else node
+        up.points += points
+        up.chars += len(text)
+        up.linked += linked
+    for v in reversed(page.nodes):
+        if v.parent is not None and v.chars:
+            v.parent.points += _PASSED * v.points
+            v.parent.chars += v.chars
+            v.parent.linked += v.linked
+    return [v for v in page.nodes if v.chars]
 
 
 def main_text(source: str | None) -> str:
@@ -274,7 +271,7 @@ def main_text(source: str | None) -> str:
     page.blocks = [b for b in whole if id(b[0]) not in menus]
     if not page.blocks:
         return ""
-    worth = {k: (v.points * (1.0 - v.linked / max(1, v.chars)), v) for k, v in _score(page).items()}
+    worth = {id(v): (v.points * (1.0 - v.linked / v.chars), v) for v in _score(page)}
     best, top = max((w for w in worth.values()), key=lambda w: w[0])[1], 0.0
     top = worth[id(best)][0]
     up: _Node | None = best
@@ -331,9 +328,8 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", sour
     rows repeat as they come, other columns are ignored, and no row leaves its partition."""
     def run(batches):
         for batch in batches:
-            sources = [s or "" for s in batch.column(2).to_pylist()]
-            for a, b in slices(sources):
-                texts = [main_text(s) for s in sources[a:b]]
+            for a, b in text_slices(batch.column(2)):
+                texts = [main_text(s) for s in batch.column(2).slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_pydict({key: batch.column(0).slice(a, b - a), url: batch.column(1).slice(a, b - a), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     kind = pages.schema[key].dataType.simpleString()

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 import time
 
@@ -107,3 +108,70 @@ def test_furniture_stays_out():
     for body in (article + teasers, article + comments, f"<main>{article}{teasers}{comments}</main>", f"<div class='has-sidebar'>{article}{comments}<div class='sidebar'><p>{long}</p></div></div>"):
         assert main_text(PAGE % body) == text
     assert main_text(PAGE % article.replace("</article>", teasers + comments + "</article>")) == text
+
+
+def test_names_are_no_verdict_on_the_article():
+    paragraphs = "".join(f"<p>This is paragraph {k}, with some words, and some more words that go on for a while here.</p>" for k in range(6))
+    want = main_text(f"<html><body><div>{paragraphs}</div></body></html>")
+    assert want.count("\n") == 5
+    for name in ("content", "layout with-sidebar", "post has-comments", "social-science", "no-widgets", "single-post post comments-open", "search-results-article", "entry-related", "share", "sidebar-layout", "newsletter-archive", "header-content"):
+        for tag in ("div", "section"):
+            for attribute in ("class", "id"):
+                page = f"<html><body><nav><a href=/>Home</a></nav><{tag} {attribute}='{name}'>{paragraphs}</{tag}><footer>f</footer></body></html>"
+                assert main_text(page) == want, (name, tag)
+
+
+def test_depth_is_no_limit():
+    text = "<p>Some words, and more words, that go on for a while, as paragraphs do, here and there.</p>" * 3
+    for deep in (1, 5, 9, 40):
+        page = PAGE % ("<article>" + "<div>" * deep + "<header><h1>T</h1></header>" + text + "</div>" * deep + "</article>")
+        assert main_text(page).split("\n")[0] == "T" and main_text(page).count("\n") == 3, deep
+
+
+def random_page(rng, depth=0):
+    """A tree as (tag, children); a leaf is (tag, text, linked text)."""
+    if depth > 2 and rng.random() < 0.7 or depth > 6:
+        words = lambda n: " ".join(rng.choice(["a,", "word", "other", "longer"]) for _ in range(n))
+        return ("p", words(rng.randint(1, 40)), words(rng.randint(1, 12)) if rng.random() < 0.3 else "")
+    return (rng.choice(["div", "section"]), [random_page(rng, depth + 1) for _ in range(rng.randint(1, 4))])
+
+
+def test_scores_by_brute_force():
+    """The scoring stated anew, from the top down: each element sums what its paragraphs pass up to it."""
+    rng = random.Random(11)
+
+    def markup(node):
+        if node[0] == "p":
+            return f"<p>{node[1]}" + (f" <a href=x>{node[2]}</a>" if node[2] else "") + "</p>"
+        return f"<{node[0]}>" + "".join(map(markup, node[1])) + f"</{node[0]}>"
+
+    def leaves(node, depth=0):
+        return [(node, depth)] if node[0] == "p" else [x for c in node[1] for x in leaves(c, depth + 1)]
+
+    def text(p):
+        return p[1] + (" " + p[2] if p[2] else "")
+
+    def worth(node):
+        points = chars = linked = 0
+        for p, depth in leaves(node):
+            t, own = text(p), len("".join(p[2].split()))
+            points += (1 + t.count(",") + min(len(t) / 100, 3)) * (1 - min(1, own / len(t))) * 0.5 ** (depth - 1)
+            chars, linked = chars + len(t), linked + own
+        return points * (1 - linked / chars)
+
+    def inner(node):
+        return [] if node[0] == "p" else [node] + [x for c in node[1] for x in inner(c)]
+
+    for _ in range(150):
+        top = ("div", [random_page(rng) for _ in range(rng.randint(1, 4))])
+        body = ("body", [top, ("div", [("p", "x", "")])])
+        scored = [(worth(v), -k, v) for k, v in enumerate(inner(body))]
+        best = max(scored, key=lambda x: x[:2])
+        parent = next((v for v in inner(body) if any(c is best[2] for c in v[1])), None)
+        kept = [best[2]]
+        if parent is not None:
+            kept += [c for w, _, c in scored if any(c is x for x in parent[1]) and w >= max(10, 0.2 * best[0])]
+            kept += [c for c in parent[1] if c[0] == "p" and len(text(c)) > 80 and len("".join(c[2].split())) < 0.25 * len(text(c))]
+        inside = {id(p) for v in kept for p, _ in leaves(v)}
+        want = "\n".join(text(p) for p, _ in leaves(body) if id(p) in inside)
+        assert main_text("<html>" + markup(body) + "</html>") == want
