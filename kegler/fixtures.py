@@ -25,14 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four lanes of one video from ``events``."""
-    lane = (F.col("user_id") % 4).cast("int")
-    rows = table(spark, sf_dir, "events").select(lane.alias("lane_pos"), "ts", "event_id", "value", F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"))
-    w = W.partitionBy("lane_pos").orderBy("ts", "event_id")
+def signals(spark: SparkSession, sf_dir: str, videos: int = 1) -> DataFrame:
+    """Four lanes of each of some videos from ``events``; one video is called v, more v0, v1 and so on."""
+    lane = (F.col("user_id") % (4 * videos)).cast("int")
+    rows = table(spark, sf_dir, "events").select(lane.alias("place"), "ts", "event_id", "value", F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"))
+    w = W.partitionBy("place").orderBy("ts", "event_id")
+    pos = (F.col("place") % 4).cast("int")
+    video = F.lit("v") if videos == 1 else F.concat(F.lit("v"), F.floor(F.col("place") / 4).cast("string"))
     moved = lambda n: F.coalesce(F.abs(F.col("value") - F.lag("value", n).over(w)), F.lit(0.0))
     return rows.select(
-        F.lit("v").alias("video_id"), F.concat(F.lit("lane_"), F.col("lane_pos")).alias("lane_name"), "lane_pos", (F.row_number().over(w) - 1).cast("long").alias("frame_index"),
+        video.alias("video_id"), F.concat(F.lit("lane_"), pos).alias("lane_name"), pos.alias("lane_pos"), (F.row_number().over(w) - 1).cast("long").alias("frame_index"),
         (F.col("k") / 100.0).alias("bowler_confidence"), moved(1).alias("pose_motion"), moved(2).alias("pin_motion"), F.lit(False).alias("ball_reached_pins"),
     )
 

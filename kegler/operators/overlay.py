@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +35,32 @@ def overlay_plan(frames: DataFrame, lanes: list[Lane]) -> DataFrame:
     """frame_index, draw_order, lane_name, zone: what is drawn on each frame."""
     steps = F.array(*[F.struct(F.lit(k).alias("draw_order"), F.lit(lane.name).alias("lane_name"), F.lit(z).alias("zone")) for k, (lane, z) in enumerate((lane, z) for lane in lanes for z in ZONES if len(getattr(lane, z)) >= 3)])
     return frames.withColumn("s", F.explode(steps)).select(*frames.columns, "s.draw_order", "s.lane_name", "s.zone")
+
+
+def packed_frames(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pixels (b, g, r bytes, row by row) of each frame. A frame is one value, bounded by its resolution."""
+    byte = lambda c: F.char(F.col(c))
+    rows = pixels.select(*keys, "y", "x", F.encode(F.concat(byte("b"), byte("g"), byte("r")), "ISO-8859-1").alias("p"))
+    joined = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("y", "x", "p"))).alias("rows"))
+    whole = F.aggregate("rows", F.lit(b""), lambda s, r: F.concat(s, r["p"]))
+    return joined.select(*keys, whole.alias("pixels"))
+
+
+def render_overlay(pixels: DataFrame, lanes: list[Lane], open_writer: Callable[[str], Callable[[bytes | None], None]], alpha: float = ALPHA) -> DataFrame:
+    """Blend the zones into all frames and hand them, in order, to the writer of their video: video_id, n_frames.
+
+    pixels: video_id, frame_index, x, y, b, g, r. ``open_writer`` takes a video's id and returns a function that
+    takes the bytes of each frame and, at the end, None. A video has one writer, so it is one group.
+    """
+    frames = packed_frames(overlay(pixels, lanes, alpha), ["video_id", "frame_index"])
+
+    def run(key: tuple, video: pd.DataFrame) -> pd.DataFrame:
+        write = open_writer(key[0])
+        try:
+            for frame in video.sort_values("frame_index", kind="stable")["pixels"]:
+                write(frame)
+        finally:
+            write(None)
+        return pd.DataFrame({"video_id": [key[0]], "n_frames": [len(video)]})
+
+    return frames.groupBy("video_id").applyInPandas(run, "video_id string, n_frames long")

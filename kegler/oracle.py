@@ -67,6 +67,16 @@ RUNS = """
   SELECT c4.* FROM c4 LEFT JOIN s AS b ON b.lane_name = c4.lane_name AND b.frame_index = c4.i - 1 WHERE NOT coalesce(b.el, false)
 )"""
 
+#: Three videos: twelve lanes, told apart by their number.
+_VIDEOS = ("user_id % 4", "user_id % 12")
+_VIDEO = "'v' || (lane_pos // 4) AS video_id, 'lane_' || (lane_pos % 4) AS lane_name"
+_VIDEO_CLIPS = f"""
+, named AS (
+  SELECT 'v' || (lane_pos // 4) AS video_id, printf('shot_%02d_', CAST(row_number() OVER (PARTITION BY lane_pos // 4 ORDER BY start_frame, lane_pos, end_frame) AS INT)) || 'lane_' || (lane_pos % 4) || CASE WHEN gutter_fallback THEN '_gutter' ELSE '' END || '.mp4' AS file_name,
+         (end_frame - start_frame) / CAST({fx.FPS} AS DOUBLE) AS seconds
+  FROM shots
+)"""
+
 _CLIPS = f"""
 , num AS (
   SELECT *, row_number() OVER (ORDER BY start_frame, lane_pos, end_frame) AS shot_no FROM shots
@@ -190,6 +200,8 @@ def oracle_sql() -> dict[str, str]:
     run = f"FROM runs WHERE j - i >= {P.stationary}"
     return {
         "q_shot_segments": _chain(f"SELECT {shot}, round(confidence, 6) AS confidence, gutter_fallback FROM shots"),
+        "q_video_shots": _chain(f"SELECT {_VIDEO}, start_frame, end_frame, round(confidence, 6) AS confidence, gutter_fallback FROM shots").replace(*_VIDEOS),
+        "q_video_clips": _chain(f"SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY file_name) AS INT) AS reel_pos, file_name, round(coalesce(sum(seconds) OVER (PARTITION BY video_id ORDER BY file_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS offset_seconds FROM named WHERE (SELECT count(*) FROM named AS o WHERE o.video_id = named.video_id) >= 2", _VIDEO_CLIPS).replace(*_VIDEOS),
         "q_setup_runs": _with(SIGNALS, STEPS, RUNS, recursive=True) + f"SELECT lane_name, i AS run_start, j AS run_end, round(confidence, 6) AS confidence {run}",
         "q_forward_onset": _with(SIGNALS, STEPS, RUNS, recursive=True) + f"SELECT lane_name, i AS run_start, j AS run_end, onset {run} AND onset IS NOT NULL",
         "q_impact_or_gutter": _with(SIGNALS, STEPS, RUNS, recursive=True) + f"SELECT lane_name, i AS run_start, onset, impact, gutter AS gutter_fallback {run} AND onset IS NOT NULL AND impact < n",

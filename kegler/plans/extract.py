@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kegler.config import PersonParams, ProbeParams, SegmentParams, check_strategy, snap_factor
-from kegler.functions.geometry import Lane, find_lane
+from kegler.functions.colour import gray
+from kegler.functions.geometry import Lane, find_lane, foot_in_zone, zone_pixels
 from kegler.operators.detections import person_boxes
+from kegler.operators.identity import identify
 from kegler.operators.manifest import clip_manifest, reel_manifest
 from kegler.operators.search import probe_shots
 from kegler.operators.segment import segment_shots
-from kegler.operators.signals import build_signals
+from kegler.operators.signals import build_signals, pixel_motion
 
 
 @dataclass(frozen=True)
@@ -32,10 +34,30 @@ class ExtractConfig:
         return [x.scaled(snap_factor(self.factor)) for x in chosen]
 
 
-def signals_of(frames: DataFrame, detections: DataFrame, config: ExtractConfig, motion: DataFrame | None = None) -> DataFrame:
-    """Signals from detections at detection resolution, whose score is the identity of the person."""
+def pin_motion_of(pixels: DataFrame, config: ExtractConfig, width: int, height: int) -> DataFrame:
+    """Grey motion in the pin zones from coloured pixels: video_id, frame_index, lane_name, pin_motion."""
+    spark = pixels.sparkSession
+    grid = spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
+    shades = pixels.select("video_id", "frame_index", "x", "y", gray(F.col("b"), F.col("g"), F.col("r")).alias("gray"))
+    return pixel_motion(shades, zone_pixels(grid, config.lanes_scaled()), ["video_id"])
+
+
+def signals_of(frames: DataFrame, detections: DataFrame, config: ExtractConfig, motion: DataFrame | None = None, pixels: DataFrame | None = None, samples: DataFrame | None = None, size: tuple[int, int] = (0, 0), texts: DataFrame | None = None) -> DataFrame:
+    """Signals from detections at detection resolution.
+
+    With ``pixels`` and the target's ``samples`` the whole way: persons in an approach zone are identified by the
+    colours of their backs (and by ``texts``), and motion comes from the pin zones' pixels. ``size`` is the frames'
+    width and height. Without pixels the detections' score is the identity already, and ``motion`` is as given.
+    """
     factor = snap_factor(config.factor)
-    return build_signals(frames, person_boxes(detections, config.person.scaled(factor)), config.lanes_scaled(), motion)
+    boxes = person_boxes(detections, config.person.scaled(factor))
+    lanes = config.lanes_scaled()
+    if pixels is not None:
+        # Only who stands in a zone is scored: the cheap test comes first.
+        zoned = foot_in_zone(boxes, lanes).select(*boxes.columns).distinct()
+        boxes = identify(zoned, pixels, samples, *size, texts)
+        motion = pin_motion_of(pixels, config, *size) if motion is None else motion
+    return build_signals(frames, boxes, lanes, motion)
 
 
 def shots_of(signals: DataFrame, config: ExtractConfig) -> DataFrame:
@@ -48,8 +70,8 @@ def shots_of(signals: DataFrame, config: ExtractConfig) -> DataFrame:
     return probe_shots(rows, p, *config.probe.in_frames(config.fps)).drop("window_no")
 
 
-def extract_shots(frames: DataFrame, detections: DataFrame, config: ExtractConfig, motion: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(shots, clip manifest, reel manifest)."""
-    shots = shots_of(signals_of(frames, detections, config, motion), config)
+def extract_shots(frames: DataFrame, detections: DataFrame, config: ExtractConfig, motion: DataFrame | None = None, **identity) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(shots, clip manifest, reel manifest). identity: pixels, samples, size and texts of ``signals_of``."""
+    shots = shots_of(signals_of(frames, detections, config, motion, **identity), config)
     clips = clip_manifest(shots, config.fps)
     return shots, clips, reel_manifest(clips)

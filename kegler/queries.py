@@ -328,6 +328,21 @@ def q_signal_digests(spark, sf):
     return rows.select("lane_name", "n", digest("bowler_confidence", 100).alias("confidence_sha256"), digest("pin_motion", 1000).alias("pin_sha256"))
 
 
+@query
+def q_video_shots(spark, sf):
+    """Shots of three videos of four lanes each."""
+    shots = segment.segment_shots(fx.signals(spark, sf, 3), fx.PARAMS)
+    return shots.select("video_id", *SHOT, F.round("bowler_confidence", 6).alias("confidence"), "gutter_fallback")
+
+
+@query
+def q_video_clips(spark, sf):
+    """Clips of three videos: each is numbered on its own, and a reel begins anew."""
+    shots = segment.segment_shots(fx.signals(spark, sf, 3), fx.PARAMS).withColumn("lane_pos", F.substring("lane_name", 6, 1).cast("int"))
+    rows = manifest.reel_manifest(manifest.clip_manifest(shots, fx.FPS))
+    return rows.select("video_id", "reel_pos", "file_name", F.round("offset_seconds", 4).alias("offset_seconds"))
+
+
 @query
 def q_otsu(spark, sf):
     return colour.otsu_thresholds(fx.frame_pixels(spark, sf), ["frame_index"])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kegler.config import check_path
 from kegler.functions.geometry import ZONES, Lane
 from kegler.schemas import TARGET_JSON, VENUE_JSON
 
@@ -69,3 +71,16 @@ def parse_target(text: str) -> tuple[str, list[tuple[int, int, int]]]:
 
 def target_text(name: str, samples: list[tuple[int, int, int]]) -> str:
     return json.dumps({"name": name, "shirt_color_samples": [list(s) for s in samples]}, indent=2)
+
+
+def save_venue(path: str, lanes: list[Lane], width: int, height: int) -> None:
+    Path(check_path(path)).write_text(venue_text(lanes, width, height), encoding="utf-8")
+
+
+def save_target(path: str, target: DataFrame) -> None:
+    """Write a target table (target_name, sample_idx, b, g, r), of some thousand rows, as its file."""
+    rows = target.orderBy("sample_idx").collect()
+    names = {r["target_name"] for r in rows}
+    if len(names) != 1:
+        raise ValueError(f"one target is needed, not {len(names)}")
+    Path(check_path(path)).write_text(target_text(names.pop(), [(r["b"], r["g"], r["r"]) for r in rows]), encoding="utf-8")

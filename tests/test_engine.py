@@ -1,17 +1,22 @@
 """Geometry, detections, identity, manifests, sources, adapters and the whole plan."""
 
 import json
+import os
 import random
+import sys
 
+import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from kegler import __main__ as cli
 from kegler import config
 from kegler import fixtures as fx
+from kegler.config import PersonParams
 from kegler.functions import colour, geometry
 from kegler.operators import detections, identity, manifest, overlay, report, signals, target
-from kegler.plans.extract import ExtractConfig, extract_shots, shots_of
+from kegler.plans.extract import ExtractConfig, extract_shots, shots_of, signals_of
 from kegler.sources import calibration, media
 
 
@@ -296,3 +301,233 @@ def test_signal_digests_see_whole_arrays(spark, sf, monkeypatch):
     moved = {r["lane_name"]: tuple(r)[1:] for r in queries.queries()["q_signal_digests"](spark, sf).collect()}
     assert all(moved[k][:2] == want[k][:2] and moved[k][2] != want[k][2] for k in want)
     assert {r["lane_name"]: r["tail"] for r in queries.queries()["q_signal_arrays"](spark, sf).collect()} == {r["lane_name"]: r["tail"] for r in arrays}
+
+
+def test_identity_from_pixels(spark):
+    """From boxes and pixels to a score: who wears the target's colour scores high, others low; a crop outside the frame 0."""
+    pixels = [("v", 0, x, y, 0, 0, 250) for x in range(20) for y in range(40)] + [("v", 0, x, y, 250, 0, 0) for x in range(20, 40) for y in range(40)]
+    px = spark.createDataFrame(pixels, "video_id string, frame_index long, x int, y int, b int, g int, r int")
+    boxes = spark.createDataFrame([("v", 0, 0, 2, 0, 18, 40, 0.9), ("v", 0, 1, 22, 0, 38, 40, 0.9), ("v", 0, 2, 60, 0, 80, 40, 0.9)], "video_id string, frame_index long, det_idx int, x1 int, y1 int, x2 int, y2 int, score double")
+    samples = spark.createDataFrame([(0, 0, 250)] * 5, "b int, g int, r int")
+    got = {r["det_idx"]: r["score"] for r in identity.identify(boxes, px, samples, 40, 40).collect()}
+    assert got == {0: 0.85, 1: 0.0, 2: 0.0}
+    texts = spark.createDataFrame([("v", 0, 1, 0.93)], "video_id string, frame_index long, det_idx int, text_score double")
+    got = {r["det_idx"]: r["score"] for r in identity.identify(boxes, px, samples, 40, 40, texts).collect()}
+    assert got == {0: 0.85, 1: 0.93, 2: 0.0}
+    assert identity.identify(boxes, px, samples.where("false"), 40, 40).agg({"score": "max"}).first()[0] == 0.0
+
+
+def test_whole_plan_from_pixels(spark):
+    """The plan with identity and motion from pixels: signals come from nothing but frames, boxes and samples."""
+    lane = fx.Lane("one", ((0, 0), (19, 0), (19, 39), (0, 39)), ((20, 0), (25, 0), (25, 39), (20, 39)), ((30, 0), (35, 0), (35, 5), (30, 5)))
+    config = ExtractConfig([lane], factor=1.0, strategy="linear", person=PersonParams(min_height=20))
+    frames = spark.range(4).select(F.lit("v").alias("video_id"), F.col("id").alias("frame_index"))
+    grid = frames.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    px = grid.withColumns({"b": F.when((F.col("x") >= 30) & (F.col("frame_index") == 2), 100).otherwise(0), "g": F.lit(0), "r": F.when(F.col("x") < 20, 250).otherwise(0)})
+    boxes = spark.createDataFrame([("v", k, 0, 2 + 3 * (k == 3), 0, 12 + 3 * (k == 3), 30, 0.9) for k in range(4) if k != 1], "video_id string, frame_index long, det_idx int, x1 int, y1 int, x2 int, y2 int, score double")
+    samples = spark.createDataFrame([(0, 0, 250)], "b int, g int, r int")
+    rows = {r["frame_index"]: r for r in signals_of(frames, boxes, config, pixels=px, samples=samples, size=(40, 40)).collect()}
+    assert [rows[k]["bowler_confidence"] for k in range(4)] == [0.85, 0.0, 0.85, 0.85]
+    assert [rows[k]["pose_motion"] for k in range(4)] == [0.0, 0.0, 0.0, 3.0]
+    assert [rows[k]["pin_motion"] for k in range(4)] == [0.0, 0.0, 11.0, 11.0]
+
+
+def test_build_target(spark):
+    boxes = [(1, 0, 300, 0, 340, 100, 0.9), (1, 1, 90, 900, 130, 1100, 0.9), (1, 2, 95, 900, 130, 1100, 0.9), (2, 0, 400, 900, 440, 1100, 0.9)]
+    found = spark.createDataFrame(boxes, "image_id long, det_idx int, x1 int, y1 int, x2 int, y2 int, score double")
+    px = spark.createDataFrame([(i, x, y, i, x % 256, 7) for i, a in ((1, 90), (2, 400)) for x in range(a - 5, a + 60, 5) for y in range(900, 1100, 10)], "image_id long, x int, y int, b int, g int, r int")
+    refs = spark.createDataFrame([(1, "left"), (2, "right")], "image_id long, lane_name string")
+    rows = target.build_target("Ann", refs, found, px, fx.LANES, fx.WIDTH, fx.HEIGHT, per_image=30).collect()
+    # Crops are rows 936 to 1009 and the box's columns; both images' samples are joined and numbered.
+    assert sorted(r["sample_idx"] for r in rows) == list(range(60)) and {r["target_name"] for r in rows} == {"Ann"}
+    assert all(90 <= r["g"] < 130 for r in rows if r["b"] == 1) and all(400 % 256 <= r["g"] < 440 % 256 for r in rows if r["b"] == 2)
+    with pytest.raises(Exception, match="no person"):
+        target.build_target("Ann", refs, found.where("image_id = 1"), px, fx.LANES, fx.WIDTH, fx.HEIGHT).collect()
+
+
+def random_lane(rng, n):
+    """Standing, moving and pin motion at random, often enough for shots."""
+    conf, pose, pin = (np.zeros(n) for _ in range(3))
+    at = 0
+    while at < n:
+        run = rng.randint(2, 12)
+        conf[at : at + run], pose[at : at + run] = rng.choice([0.0, 0.9]), rng.choice([0.0, 0.0, 6.0])
+        pin[at : at + run] = rng.choice([0.0, 0.0, 3.0])
+        at += run
+    return conf, pose, pin, np.zeros(n, bool)
+
+
+def test_lazy_probe_reads_only_what_it_needs(spark):
+    from kegler.operators.search import lazy_walk, probe_videos, probe_walk
+
+    rng = random.Random(4)
+    params = fx.FrameParams(confidence=0.3, stationary=3, pose=4.0, settle_run=3, pin=1.5, lookback=2, pad=1, release=12, impact=12, settle=9, gutter=6)
+    for _ in range(25):
+        n = rng.randint(0, 400)
+        lanes = [(name, random_lane(rng, n)) for name in ("a", "b")]
+        seen = set()
+
+        def scan(a, b, lanes=lanes, seen=seen):
+            seen.update(range(a, b))
+            out = []
+            for name, own in lanes:
+                conf, pose, pin, ball = (x[a:b].copy() for x in own)
+                pose[:1] = pin[:1] = 0.0
+                out.append((name, (conf, pose, pin, ball)))
+            return out
+
+        want = probe_walk(lanes, params, 20, 10, 25)
+        got = lazy_walk(scan, n, params, 20, 10, 25)
+        assert [(k, w, s) for k, _, w, s in got] == want
+        assert len(seen) <= n
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this module
+    n, quiet = 300, (np.zeros(300), np.zeros(300), np.zeros(300), np.zeros(300, bool))
+    looked = []
+    assert lazy_walk(lambda a, b: looked.append((a, b)) or [("a", tuple(x[a:b] for x in quiet))], n, params, 20, 10, 25) == []
+    assert looked == [(k, k + 1) for k in range(0, 300, 20)]
+
+    def load():
+        def read(video, a, b):
+            rng = random.Random(video)
+            own = random_lane(rng, 200)
+            conf, pose, pin, ball = (x[a:b].copy() for x in own)
+            pose[:1] = pin[:1] = 0.0
+            return [("a", (conf, pose, pin, ball))]
+
+        return read
+
+    videos = spark.createDataFrame([("x", 200), ("y", 200), ("z", 0)], "video_id string, n_frames long")
+    got = sorted((r["video_id"], r["window_no"], r["start_frame"], r["end_frame"]) for r in probe_videos(videos, load, params, 20, 10, 25).collect())
+    want = []
+    for video in ("x", "y"):
+        lanes = [("a", random_lane(random.Random(video), 200))]
+        want += [(video, w, s.start, s.end) for _, w, s in probe_walk(lanes, params, 20, 10, 25)]
+    assert got == sorted(want)
+
+
+def test_merge_clicks_and_saving(spark, tmp_path, monkeypatch):
+    from kegler.operators.clicks import replay_clicks
+
+    with pytest.raises(RuntimeError, match="no clips"):
+        media.merge_clips(str(tmp_path), str(tmp_path / "out.mp4"))
+    for n in ("shot_02_a.mp4", "shot_100_a.mp4", "shot_11_it's.mp4", "other.mp4"):
+        (tmp_path / n).write_bytes(b"")
+    seen = {}
+
+    def run(command, what):
+        listed = command[command.index("-i") + 1]
+        seen.update(command=command, lines=open(listed, encoding="utf-8").read().splitlines(), listed=listed)
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(media, "need_tool", lambda name: name)
+    for again in (False, True):
+        with pytest.raises(RuntimeError, match="stopped"):
+            media.merge_clips(str(tmp_path), str(tmp_path / "deep" / "reel.mp4"), reencode=again, run=run)
+        assert not os.path.exists(seen["listed"]) and (tmp_path / "deep").is_dir()
+        assert [x.rsplit("/", 1)[1] for x in seen["lines"]] == ["shot_02_a.mp4'", "shot_100_a.mp4'", "shot_11_it\\'s.mp4'"]
+        assert ("copy" in seen["command"]) != again and ("libx264" in seen["command"]) == again
+    assert media.merge_clips(str(tmp_path), str(tmp_path / "r.mp4"), run=lambda c, w: None) == 3
+
+    events = [("l", "approach_zone", k, kind, x, y) for k, (kind, x, y) in enumerate([("undo", 0, 0), ("add", 1, 2), ("add", 3, 4), ("finish", 0, 0), ("add", 9, 9), ("undo", 0, 0), ("add", 5, 6), ("finish", 0, 0), ("add", 7, 7)])]
+    events += [("l", "pin_zone", 0, "add", 1, 1), ("l", "pin_zone", 1, "cancel", 0, 0), ("m", "pin_zone", 0, "add", 1, 1)]
+    rows = {(r["lane_name"], r["zone"]): (r["state"], [tuple(p) for p in r["points"]]) for r in replay_clicks(spark.createDataFrame(events, "lane_name string, zone string, event_no int, kind string, x int, y int")).collect()}
+    assert rows == {("l", "approach_zone"): ("done", [(1, 2), (3, 4), (5, 6)]), ("l", "pin_zone"): ("cancelled", []), ("m", "pin_zone"): ("open", [(1, 1)])}
+
+    calibration.save_venue(str(tmp_path / "v.json"), fx.LANES, 720, 1280)
+    assert calibration.parse_lanes((tmp_path / "v.json").read_text()) == fx.LANES
+    own = spark.createDataFrame([("Ann", 1, 4, 5, 6), ("Ann", 0, 1, 2, 3)], "target_name string, sample_idx int, b int, g int, r int")
+    calibration.save_target(str(tmp_path / "t.json"), own)
+    assert calibration.parse_target((tmp_path / "t.json").read_text()) == ("Ann", [(1, 2, 3), (4, 5, 6)])
+    clicks = tmp_path / "clicks.jsonl"
+    clicks.write_text("\n".join(json.dumps({"lane_name": "x", "zone": z, "kind": k, "x": x, "y": x * x}) for z in ("approach_zone", "lane_zone", "pin_zone") for k, x in (("add", 1), ("add", 2), ("add", 3), ("finish", 0))))
+    assert cli.main(["calibrate", str(tmp_path / "new.json"), "--clicks", str(clicks), "--size", "72", "128"]) == 0
+    assert calibration.parse_lanes((tmp_path / "new.json").read_text())[0].pin_zone == ((1, 1), (2, 4), (3, 9))
+
+
+def test_ocr_images_and_recogniser(spark):
+    from kegler.functions import ocr
+
+    rng = np.random.default_rng(2)
+    crop = rng.integers(0, 256, (20, 30, 3), dtype=np.uint8)
+    six = ocr.variants(crop)
+    assert [x.shape for x in six] == [(20, 30, 3)] + [(60, 90, 3)] * 5
+    assert (six[3] == 255 - six[2]).all() and set(np.unique(six[4])) <= {0, 255} and ocr.variants(crop[:0]) == []
+    flat = np.full((10, 10, 3), 77, np.uint8)
+    assert (ocr.enlarged(flat) == 77).all()
+    # The centre of each enlarged pixel is the pixel itself.
+    assert (ocr.enlarged(crop)[1::3, 1::3] == crop).all()
+    ramp = np.tile(np.arange(100, 140, dtype=np.uint8), (40, 1))
+    assert np.ptp(ocr.evened(ramp).astype(int)) > np.ptp(ramp.astype(int))
+    two = np.array([[10] * 5 + [200] * 5], np.uint8)
+    assert ocr.split_level(two) == 10
+
+    def load():
+        return lambda image: [("ANNA B", 0.5)] if image.shape[0] == 30 else [("anma", 0.9)] if image.shape[0] == 10 else []
+
+    rows = spark.createDataFrame([("v", 1, 10, 12, bytes(360)), ("v", 2, 0, 0, b"")], "video_id string, det int, height int, width int, pixels binary")
+    read = identity.recognise(rows, load, ["video_id", "det"])
+    assert read.count() == 6
+    assert [tuple(r) for r in identity.text_scores(read, "anna", ["video_id", "det"]).collect()] == [("v", 1, 0.75)]
+
+
+def test_ball_from_pixels(spark):
+    frames = []
+    for f in range(3):
+        for x in range(30):
+            for y in range(30):
+                # A square of 8 x 8 with a hole jumps in between frames; outside the mask all flickers.
+                ball = f >= 1 and 5 + 8 * (f - 1) <= x < 13 + 8 * (f - 1) and 5 <= y < 13 and (x, y) != (8, 8)
+                frames.append(("v", f, x, y, 200 if ball else 90 * (f % 2) if x >= 25 else 0))
+    px = spark.createDataFrame(frames, "video_id string, frame_index long, x int, y int, gray int")
+    mask = spark.range(25 * 30).select((F.col("id") % 25).cast("int").alias("x"), F.floor(F.col("id") / 25).cast("int").alias("y"))
+    rows = {r["frame_index"]: (r["area"], r["x"], r["y"]) for r in detections.detect_ball(px, mask).collect()}
+    assert rows[1] == (64, 8, 8) and rows[2][0] == 127 + 1
+    sized = px.withColumns({"width": F.when(F.col("frame_index") == 1, 30).otherwise(31), "height": F.lit(30)})
+    assert detections.detect_ball(sized, mask).count() == 0
+    assert detections.closed({(0, 0)}) == {(0, 0)}
+
+
+def test_frames_images_downloads_and_models(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0), ("b", 7), ("c", None)], "video_id string, n_frames long")
+    frames = spark.createDataFrame([("a", 0), ("a", 1)], "video_id string, frame_index long")
+    assert {r["video_id"]: r["n_frames"] for r in media.with_frame_counts(rows, frames).collect()} == {"a": 2, "b": 7, "c": 0}
+    (tmp_path / "a.img").write_bytes(b"ok")
+    found = media.read_images(spark, str(tmp_path), "*.img", lambda data: (1, 1, data) if data == b"ok" else None)
+    assert bytes(found.first()["pixels"]) == b"ok"
+    (tmp_path / "b.img").write_bytes(b"bad")
+    with pytest.raises(Exception, match="no image can be read"):
+        media.read_images(spark, str(tmp_path), "*.img", lambda data: (1, 1, data) if data == b"ok" else None).collect()
+
+    got = []
+
+    def fetch(address, path):
+        got.append(address)
+        if address != "none":
+            open(path, "w").close()
+
+    folder = str(tmp_path / "cache")
+    first = media.download_once("u", folder, lambda a: ("id7", "mp4"), fetch)
+    assert first.endswith("id7.mp4") and media.download_once("u", folder, lambda a: ("id7", "mp4"), fetch) == first and got == ["u"]
+    with pytest.raises(RuntimeError, match="wrote no file"):
+        media.download_once("none", folder, lambda a: ("id8", "mp4"), fetch)
+    assert os.listdir(folder) == ["id7.mp4"]
+    made = []
+    get = media.once_per_worker(lambda: made.append(1) or len(made))
+    assert get() == get() == 1 and made == [1]
+
+
+def test_overlay_is_written_frame_by_frame(spark, tmp_path):
+    rows = [("v", f, x, y, 10 * f, 200, 255) for f in (2, 0, 1) for x in range(8) for y in range(8)]
+    px = spark.createDataFrame(rows, "video_id string, frame_index long, x int, y int, b int, g int, r int")
+    path = str(tmp_path / "video.raw")
+
+    def open_writer(video):
+        out = open(path, "wb")
+        return lambda frame: out.close() if frame is None else out.write(frame)
+
+    assert [tuple(r) for r in overlay.render_overlay(px, fx.GRID_LANES, open_writer).collect()] == [("v", 3)]
+    data = np.frombuffer(open(path, "rb").read(), np.uint8).reshape(3, 8, 8, 3)
+    # Pixel (7, 1) lies in no zone.
+    assert data[:, 1, 7].tolist() == [[0, 200, 255], [10, 200, 255], [20, 200, 255]]
+    blended = {(r["frame_index"], r["x"], r["y"]): (r["b"], r["g"], r["r"]) for r in overlay.overlay(px, fx.GRID_LANES).collect()}
+    assert all(tuple(data[f, y, x]) == v for (f, x, y), v in blended.items())
