@@ -9,6 +9,7 @@ exchanged, and each shard permutes what it got. Everything is built-in DataFrame
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -112,11 +113,9 @@ def uniform_shards(rows: DataFrame, n_shards: int = 16, seed: int = 0) -> DataFr
 
 def _cuts(spark: SparkSession, parts: list[int], matrix: list[list[int]]) -> DataFrame:
     """part, upto: how many rows of the partition go to this shard or an earlier one."""
-    table = []
-    for p, row in zip(parts, matrix, strict=True):
-        upto = [sum(row[: s + 1]) for s in range(len(row))]
-        table.append((p, upto))
-    return spark.createDataFrame(table, "part int, upto array<long>")
+    table = [{"part": p, "upto": [sum(row[: s + 1]) for s in range(len(row))]} for p, row in zip(parts, matrix, strict=True)]
+    rows = F.from_json(F.lit(json.dumps(table)), "array<struct<part:int,upto:array<bigint>>>")
+    return spark.range(1).select(F.inline(rows))
 
 
 def text_size(text: Column) -> Column:
