@@ -109,10 +109,11 @@ def _next(mask: np.ndarray) -> np.ndarray:
     return np.append(np.minimum.accumulate(places[::-1])[::-1], n)
 
 
-def find_shots(confidence: np.ndarray, pose: np.ndarray, pin: np.ndarray, ball: np.ndarray, p: FrameParams, before: int = 0) -> list[Shot]:
+def find_shots(confidence: np.ndarray, pose: np.ndarray, pin: np.ndarray, ball: np.ndarray, p: FrameParams, before: int = 0, lead: tuple[int, float] = (0, 0.0)) -> list[Shot]:
     """The chain of one lane. Arrays of unequal length count as far as the shortest goes.
 
-    before: frames of the video before the first of the arrays; a lookback may reach into them.
+    before: frames of the video before the first of the arrays; a lookback may reach into them. lead: number
+    and summed confidence of eligible frames just before, which belong to a run that begins with the arrays.
     """
     n = min(len(confidence), len(pose), len(pin), len(ball))
     confidence, pose, pin, ball = confidence[:n], pose[:n], pin[:n], ball[:n].astype(bool)
@@ -126,7 +127,9 @@ def find_shots(confidence: np.ndarray, pose: np.ndarray, pin: np.ndarray, ball:
     while at < n:
         rest = int(to_break[at])
         onset = int(to_move[rest])
-        if rest - at < p.stationary or onset >= min(n, rest + p.release):
+        more, total = lead if at == 0 else (0, 0.0)
+        length = rest - at + more
+        if length < p.stationary or onset >= min(n, rest + p.release):
             at = rest + 1
         else:
             impact = int(to_hit[onset])
@@ -140,7 +143,7 @@ def find_shots(confidence: np.ndarray, pose: np.ndarray, pin: np.ndarray, ball:
                 if settle >= min(n, impact + p.settle):
                     settle = min(impact + p.settle, n - 1)
                 end = min(n - 1, settle + p.pad)
-                shots.append(Shot(max(-before, onset - p.lookback), end, float(np.sum(confidence[at:rest]) / (rest - at)), gutter))
+                shots.append(Shot(max(-before, onset - p.lookback), end, float((np.sum(confidence[at:rest]) + total) / length), gutter))
                 at = end + 1
         at = int(to_eligible[min(at, n)])
     return shots

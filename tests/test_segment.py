@@ -234,3 +234,27 @@ def test_seconds_become_whole_frames():
 @pytest.mark.parametrize("fps", [24.0, 30.0, 59.94])
 def test_budgets_cut_towards_zero(fps):
     assert SegmentParams().in_frames(fps).lookback == int(fps * 0.5)
+
+
+def test_a_long_setup_run_needs_little_state():
+    """Frames come in small batches; a run of thousands of frames is kept as a count and a sum."""
+    from kegler.streaming import shots as live
+
+    n, run = 6000, 5000
+    conf, pose, pin = np.zeros(n), np.zeros(n), np.zeros(n)
+    conf[100 : 100 + run] = np.linspace(0.6, 0.9, run)
+    pose[100 + run + 2], pin[100 + run + 4] = 9.0, 9.0
+    ball = np.zeros(n, bool)
+    want = [(s.start, s.end, s.gutter) for s in segment.find_shots(conf, pose, pin, ball, P)]
+    first, lead, own, got, most = 0, (0, 0.0), [np.empty(0), np.empty(0), np.empty(0), np.empty(0, bool)], [], 0
+    for k in range(0, n + 1, 50):
+        own = [np.concatenate([x, y[k : k + 50]]) for x, y in zip(own, (conf, pose, pin, ball))]
+        found, keep = live._step(first, own, P, k >= n, lead)
+        got += found
+        own = [x[keep:] for x in own]
+        spare, lead = live._led(own, (0, 0.0) if keep else lead, P)
+        first, own = first + keep + spare, [x[spare:] for x in own]
+        most = max(most, len(own[0]))
+    assert [(s[0], s[1], s[3]) for s in got] == want and len(want) == 1
+    assert abs(got[0][2] - conf[100 : 100 + run].mean()) < 1e-9
+    assert most < 10 * live.horizon(P)
