@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kegler.llm.vocabulary import slices
+from kegler.llm.vocabulary import text_slices
 
 THRESHOLD = 0.85
 #: Words that take part: runs of letters, digits and characters beyond ASCII, lower-cased A-Z.
@@ -209,11 +209,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     def run(batches):
         scanner = shipped.value
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in text_slices(batch.column(1)):
                 out: dict[str, list] = {"n_words": [], "n_matches": [], "licenses": [], "best": [], "dice": [], "matches": []}
-                for t in texts[a:b]:
-                    words = words_of(t)
+                for t in batch.column(1).slice(a, b - a).cast(pa.binary()).to_pylist():
+                    words = words_of(t or b"")
                     found = scanner.scan(words)
                     best = min(found, key=lambda x: (-x[1], x[2], x[0]), default=None)
                     row = len(words), len(found), ",".join(sorted({x[0] for x in found})), best and best[0], best and round(best[1], 6), ",".join(f"{n}:{f}:{e}" for n, _, f, e in found)
