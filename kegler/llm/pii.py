@@ -299,7 +299,10 @@ class Model:
                     for v in range(3):
                         table[y][:, v] = ((weight * q) @ (votes == v) + 10 * start[y][:, v]) / ((weight @ q) + 10)
             posterior |= dict(zip(own, p.tolist(), strict=True))
-            self.reliability[KINDS[kind]] = {name: float(prior * table[1][k, 2] + (1 - prior) * table[0][k, 0]) for k, name in enumerate(LABELERS)}
+            # How often a labeler that votes is right.
+            right = prior * table[1][:, 2] + (1 - prior) * table[0][:, 0]
+            voted = 1 - prior * table[1][:, 1] - (1 - prior) * table[0][:, 1]
+            self.reliability[KINDS[kind]] = dict(zip(LABELERS, (right / voted).tolist(), strict=True))
         self.weights = np.zeros(len(self._row((0,) * 8)))
         if not self.patterns:
             return
