@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kegler import fixtures as fx
 from kegler.config import SCALE_FACTORS, PersonParams
-from kegler.functions import colour, geometry
+from kegler.functions import colour, geometry, scaling
 from kegler.operators import detections as det
 from kegler.operators import identity, manifest, overlay, report, search, segment, signals, target
 from kegler.sources import calibration
@@ -146,10 +146,9 @@ def q_scaled_zones(spark, sf):
 
 @query
 def q_snap_factor(spark, sf):
-    """The discount of each line, as a share kept, asks for a factor: snapped in SQL."""
+    """The discount of each line, as a share kept, asks for a factor."""
     asked = fx.table(spark, sf, "lineitem").select((F.lit(1.0) - F.col("l_discount") * 5).alias("d")).select(F.round("d", 2).alias("requested")).distinct().where("requested >= 0.25")
-    fits = F.filter(F.array(*map(F.lit, SCALE_FACTORS)), lambda f: f <= F.col("requested"))
-    return asked.select("requested", F.array_max(fits).alias("factor"))
+    return asked.select("requested", scaling.snapped(F.col("requested")).alias("factor"))
 
 
 @query

@@ -531,3 +531,11 @@ def test_overlay_is_written_frame_by_frame(spark, tmp_path):
     assert data[:, 1, 7].tolist() == [[0, 200, 255], [10, 200, 255], [20, 200, 255]]
     blended = {(r["frame_index"], r["x"], r["y"]): (r["b"], r["g"], r["r"]) for r in overlay.overlay(px, fx.GRID_LANES).collect()}
     assert all(tuple(data[f, y, x]) == v for (f, x, y), v in blended.items())
+
+
+def test_snapping_as_a_column_and_on_the_driver(spark):
+    from kegler.functions.scaling import snapped
+
+    asked = [0.2, 0.25, 0.3, 0.33, 0.34, 0.5, 0.74, 0.99, 1.0, 2.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in asked], "f double").select(snapped(F.col("f"))).collect()]
+    assert got == [None, *(config.snap_factor(x) for x in asked[1:])]
