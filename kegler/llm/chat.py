@@ -15,6 +15,7 @@ backslash from each pair gives the text back. Built-in DataFrame functions only.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HEAD, COLON, END = "### ", ": ", "</turn>\n"
@@ -72,39 +73,33 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     """
     own = F.filter(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), own.alias("parts"))
-    groups = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "parts"))).alias("turns"))
-    groups = groups.withColumn("files", F.flatten(F.transform("turns", lambda t: F.filter(t["parts"], _is_file))))
-    # Number of the first file of each turn: one pass over the turns.
-    starts = F.aggregate("turns", F.array(F.lit(0)), lambda s, t: F.concat(s, F.array(F.element_at(s, -1) + F.size(F.filter(t["parts"], _is_file)))))
-    has_files = F.size("files") > 0
-    groups = groups.withColumn("starts", F.when(has_files, starts))
-
-    def shown(t: Column, k: Column) -> Column:
-        def visit(p: Column, i: Column) -> Column:
-            number = F.get(F.col("starts"), k) + F.size(F.filter(F.slice(t["parts"], 1, i), _is_file))
-            return F.when(_is_file(p), F.concat(F.lit("<|"), p["kind"], F.lit(":"), number.cast("string"), F.lit("|>"))).otherwise(escape(p["text"]))
-
-        plain = F.transform(t["parts"], lambda p: escape(p["text"]))
-        return F.array_join(F.when(has_files, F.transform(t["parts"], visit)).otherwise(plain), "")
-
-    pieces = F.transform("turns", lambda t, k: F.struct(F.concat(F.lit(HEAD), escape_role(t["role"]), F.lit(COLON)).alias("head"), shown(t, k).alias("content"), (t["role"] == "assistant").alias("learned")))
-    groups = groups.withColumn("pieces", pieces)
-    sizes = F.transform("pieces", lambda p: F.struct(F.length(p["head"]).alias("h"), F.length(p["content"]).alias("c"), p["learned"].alias("learned")))
-    groups = groups.withColumn("formatted", F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["content"], F.lit(END))), "")).withColumn("sizes", sizes)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def walk(s: Column, p: Column) -> Column:
-        start = s["at"] + p["h"]
-        span = F.array(F.struct(start.alias("start"), (start + p["c"]).alias("end")))
-        return F.struct((start + p["c"] + len(END)).alias("at"), F.when(p["learned"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
-
-    loss = F.aggregate("sizes", zero, walk, lambda s: s["spans"])
-    files = F.transform("files", lambda p, k: F.struct(k.alias("number"), p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("n_tokens"), F.concat(F.lit("<|"), p["kind"], F.lit(":"), k.cast("string"), F.lit("|>")).alias("placeholder")))
-    out = groups.select("conv", "formatted", loss.alias("loss"), files.alias("attachments"))
+    # Running sums over the turns before give each turn the number of its first file and its place, in one pass.
+    before = W.partitionBy("conv").orderBy("turn", "role", "parts").rowsBetween(W.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
+    rows = rows.withColumn("files", F.filter("parts", _is_file)).withColumn("first_file", upto(F.size("files")))
+
+    def visit(p: Column, i: Column) -> Column:
+        number = F.col("first_file") + F.size(F.filter(F.slice("parts", 1, i), _is_file))
+        return F.when(_is_file(p), placeholder(p["kind"], number)).otherwise(escape(p["text"]))
+
+    content = F.array_join(F.when(F.size("files") > 0, F.transform("parts", visit)).otherwise(F.transform("parts", lambda p: escape(p["text"]))), "")
+    rows = rows.withColumns({"head": F.concat(F.lit(HEAD), escape_role(F.col("role")), F.lit(COLON)), "content": content})
+    rows = rows.withColumn("at", upto(F.length("head") + F.length("content") + len(END)))
+    start = F.col("at") + F.length("head")
+    files = F.transform("files", lambda p, k: F.struct((F.col("first_file") + k).cast("int").alias("number"), p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("n_tokens"), placeholder(p["kind"], F.col("first_file") + k).alias("placeholder")))
+    # Places ascend, so they tell the order.
+    turn_value = F.struct("at", start.alias("start"), (start + F.length("content")).alias("end"), (F.col("role") == "assistant").alias("learned"), F.concat("head", "content", F.lit(END)).alias("text"), files.alias("files"))
+    groups = rows.select("conv", turn_value.alias("t")).groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    loss = F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    out = groups.select("conv", F.array_join("turns.text", "").alias("formatted"), loss.alias("loss"), F.flatten("turns.files").alias("attachments"))
     total = F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"])
     return out.withColumn("n_tokens_expanded", total).withColumnRenamed("conv", conv)
 
 
+def placeholder(kind: Column, number: Column) -> Column:
+    return F.concat(F.lit("<|"), kind, F.lit(":"), number.cast("string"), F.lit("|>"))
+
+
 def parse_conversations(formatted: DataFrame, conv: str = "conv_id", text: str = "formatted", others: tuple[str, ...] = ()) -> DataFrame:
     """Read formatted conversations back: conv, turns (array of role, text), in order, and ``others`` as they are.
 
