@@ -15,6 +15,7 @@ DEFAULT_FPS = 30.0
 class SegmentParams:
     """Thresholds and budgets of the segmentation, in seconds where the name says so."""
 
+    # The defaults.
     confidence: float = 0.30
     stationary_frames: int = 8
     pose_motion: float = 4.0
@@ -61,6 +62,7 @@ class FrameParams:
 class ProbeParams:
     """Probe step and the range scanned around a hit, in seconds."""
 
+    # The defaults.
     interval_seconds: float = 10.0
     before_seconds: float = 15.0
     after_seconds: float = 25.0
@@ -73,6 +75,7 @@ class ProbeParams:
 class PersonParams:
     """Detections that count: class, least score (inclusive), least height in pixels."""
 
+    # The defaults.
     person_class: int = 0
     score: float = 0.4
     min_height: int = 80
