@@ -125,7 +125,7 @@ def decode(files: DataFrame, decoder: Callable[[bytes], Iterator[tuple[int, int,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                frames = decoder(content)
+                frames = iter(decoder(content))
                 while some := [(Path(path).stem, *row) for row in islice(frames, FRAMES_AT_ONCE)]:
                     yield pd.DataFrame(some, columns=columns)
 
