@@ -270,7 +270,7 @@ def test_pandas_is_only_where_it_must_be(spark, sf):
 
     for name, f in queries.queries().items():
         plan = f(spark, sf)._jdf.queryExecution().executedPlan().toString()
-        if name not in ("q_ocr_fuzzy", "q_probe_shots", "q_linear_vs_probe", "q_shot_segments", "q_shot_summary", "q_clip_manifest", "q_reel_manifest", "q_lane_restricted", "q_format_sanity", "q_run_metrics"):
+        if name not in ("q_ocr_fuzzy", "q_probe_shots", "q_linear_vs_probe", "q_shot_segments", "q_shot_summary", "q_clip_manifest", "q_reel_manifest", "q_lane_restricted", "q_format_sanity", "q_run_metrics", "q_video_shots", "q_video_clips"):
             assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan, name
 
 
