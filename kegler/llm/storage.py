@@ -14,13 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: list[str] = []
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI that means the same to Spark and to pyarrow: one without a scheme is one of Spark's
+    default file system, wherever that is."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString().rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by the driver and all executors, as a URI that means the same to Spark and to pyarrow."""
+    """The folder shared by the driver and all executors."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        # A path without a scheme is one of Spark's default file system, wherever that is.
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        return qualified(spark, base)
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:

@@ -138,15 +138,3 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
-
-
-def slices(texts: list[str], max_chars: int = 1 << 21):
-    """(from, to) of runs of texts of about ``max_chars`` characters: bounds what is worked on at once."""
-    begin = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > max_chars:
-            yield begin, k
-            begin, size = k, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
