@@ -209,8 +209,9 @@ class Codec:
         number: dict[str, int] = {}
         places, sizes = array("i"), array("i")
         for c in chunks:
-            # Letters after a blank or none are one piece.
-            cut = (c,) if c.isascii() and (c.isalpha() or c[0] == " " and c[1:].isalpha()) else find(c)
+            # Latin letters after a blank or none are one piece.
+            bare = c[1:] if c[0] == " " else c
+            cut = (c,) if bare.isalpha() and max(bare) < "\u0250" else find(c)
             sizes.append(len(cut))
             for p in cut:
                 places.append(number.setdefault(p, len(number)))
