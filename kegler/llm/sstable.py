@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kegler.llm.storage import materialize, open_fs, work_path
-from kegler.llm.vocabulary import ChunkVocabulary, slices
+from kegler.llm.storage import materialize, open_fs, qualified, work_path
+from kegler.llm.vocabulary import ChunkVocabulary, release, text_slices
 
 MAGIC = b"KGSST001"
 FOOTER = struct.Struct("<QQQQQQBB6x8s")
+#: ASCII marks that follow a word as a piece of their own; an apostrophe may begin an ending instead.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCK_BYTES, RESTART_EVERY, BLOOM_BITS_PER_KEY, BLOOM_HASHES = 1 << 16, 16, 10, 7
 
 
@@ -101,6 +103,10 @@ class ShardWriter:
         self.block, self.restarts, self.in_block = bytearray(), [], 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
+        self.put(key, ids.astype("<u2" if self.width == 2 else "<u4").tobytes())
+
+    def put(self, key: bytes, value: bytes) -> None:
+        """Add an entry whose ids are packed already."""
         if self.n_entries and key < self.last:
             raise ValueError("keys must not descend")
         shared = 0
@@ -110,10 +116,9 @@ class ShardWriter:
                 shared += 1
         else:
             self.restarts.append(len(self.block))
-        value = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last, self.in_block = key, self.in_block + 1
-        self.n_entries, self.n_ids = self.n_entries + 1, self.n_ids + len(ids)
+        self.n_entries, self.n_ids = self.n_entries + 1, self.n_ids + len(value) // self.width
         self.hashes.append(xxhash.xxh3_64_intdigest(key))
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
@@ -199,58 +204,100 @@ class ShardReader:
         return found
 
 
-_ENCODERS: dict[int, ChunkVocabulary] = {}
-
-
-def library_chunks(tokenizer_json: str) -> ChunkVocabulary:
-    """Chunk ids by the tokenizers library; strings of special tokens are ordinary text.
+class LibraryEncoder:
+    """Ids of whole texts as the tokenizers library gives them, for a byte-level model.
 
-    The library's own pre-tokenizer cuts each distinct chunk into pieces; the pieces of many
-    chunks are encoded in one call, and the ids dealt out by the bytes they stand for.
+    The library's own pre-tokenizer cuts each distinct chunk into pieces; the pieces of many chunks are
+    encoded in one call, and the ids dealt out by the bytes they stand for. A text that holds the
+    string of a special token is encoded whole by the plain call, which makes it that token's id;
+    with ``special_as_text`` such strings are ordinary text everywhere.
     """
-    key = zlib.crc32(tokenizer_json.encode())
-    if key in _ENCODERS:
-        return _ENCODERS[key]
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_str(tokenizer_json)
-    whole.encode_special_tokens = True
-    n_ids = whole.get_vocab_size(with_added_tokens=True)
-    # A byte-level token spells each byte as one character.
-    n_bytes = np.array([len(whole.id_to_token(i) or "") for i in range(n_ids)], np.int64)
-    batch = 1000
 
-    def encode(chunks: list[str]):
+    BATCH = 1000
+
+    def __init__(self, tokenizer_json: str, special_as_text: bool = False):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole, self.bare = Tokenizer.from_str(tokenizer_json), Tokenizer.from_str(tokenizer_json)
+        self.whole.encode_special_tokens = special_as_text
+        self.bare.encode_special_tokens = True
+        self.bare.pre_tokenizer = None
+        self.special = [] if special_as_text else [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", [])]
+        # A byte-level token spells each byte as one character.
+        n_ids = self.whole.get_vocab_size(with_added_tokens=True)
+        self.n_bytes = np.array([len(self.whole.id_to_token(i) or "") for i in range(n_ids)], np.int64)
+        # Letters up to U+024F in the model's spelling, and a blank.
+        cut = self.whole.pre_tokenizer.pre_tokenize_str
+        self.spelling = {k: cut(chr(k))[0][0] for k in range(0x250) if chr(k).isalpha()} | {0x20: cut(" ")[0][0]}
+        self.vocabulary = ChunkVocabulary(self._chunks, max_chunks=400_000)
+
+    def _cut(self, chunk: str) -> list[str]:
+        """The pieces of a chunk, spelt as the model spells them. Latin letters, after a blank or none, are one piece
+        and ASCII marks after them another; all else is left to the library."""
+        word = chunk.rstrip(MARKS)
+        bare = word[1:] if word[:1] == " " else word
+        if bare.isalpha() and max(bare) < "\u0250":
+            spelt = word.translate(self.spelling)
+            return [spelt] if len(word) == len(chunk) else [spelt, chunk[len(word) :]]
+        return [piece for piece, _ in self.whole.pre_tokenizer.pre_tokenize_str(chunk)]
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = [], []
-        for k in range(0, len(chunks), batch):
-            some = chunks[k : k + batch]
-            pieces = [piece for c in some for piece, _ in whole.pre_tokenizer.pre_tokenize_str(c)]
-            got = np.array([t for p in bare.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False) for t in p.ids], np.int32)
-            ends = np.cumsum(n_bytes[got])
-            upto = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in some])) + 1
-            if len(got) and (int(ends[-1]) != sum(len(c.encode()) for c in some)):
+        for k in range(0, len(chunks), self.BATCH):
+            some = chunks[k : k + self.BATCH]
+            pieces = [piece for c in some for piece in self._cut(c)]
+            got = np.array([t for p in self.bare.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False) for t in p.ids], np.int32)
+            ends, sizes = np.cumsum(self.n_bytes[got]), np.cumsum([len(c.encode()) for c in some])
+            if len(got) and ends[-1] != sizes[-1]:
                 raise ValueError("ids do not spell the text")
-            counts.append(np.diff(upto, prepend=0))
+            counts.append(np.diff(np.searchsorted(ends, sizes) + 1, prepend=0))
             ids.append(got)
         return np.concatenate(ids), np.concatenate(counts)
 
-    bare = Tokenizer.from_str(tokenizer_json)
-    bare.encode_special_tokens = True
-    bare.pre_tokenizer = None
-    _ENCODERS[key] = ChunkVocabulary(encode, max_chunks=1_000_000)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each)."""
+        apart = [k for k, t in enumerate(texts) if any(x in t for x in self.special)]
+        if not apart:
+            return self.vocabulary.encode(texts)
+        own = {k: self.whole.encode(texts[k], add_special_tokens=False).ids for k in apart}
+        ids, counts = self.vocabulary.encode(["" if k in own else t for k, t in enumerate(texts)])
+        ends = np.cumsum(counts).tolist()
+        rows = [own.get(k, ids[e - n : e]) for k, (e, n) in enumerate(zip(ends, counts.tolist(), strict=True))]
+        return np.concatenate([np.asarray(r, np.int32) for r in rows]), np.array(list(map(len, rows)), np.int64)
+
+
+_ENCODERS: dict[tuple[int, bool], LibraryEncoder] = {}
+
+
+def library_encoder(tokenizer_json: str, special_as_text: bool = False) -> LibraryEncoder:
+    key = zlib.crc32(tokenizer_json.encode()), special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = LibraryEncoder(tokenizer_json, special_as_text)
     return _ENCODERS[key]
 
 
+def packed(ids: np.ndarray, counts: np.ndarray, end_id: int, width: int) -> list[bytes]:
+    """The ids of each text and the end id, as little-endian integers of ``width`` bytes."""
+    ends = np.cumsum(counts) + np.arange(1, len(counts) + 1)
+    out = np.empty(len(ids) + len(counts), "<u2" if width == 2 else "<u4")
+    last = np.zeros(len(out), bool)
+    last[ends - 1] = True
+    out[last], out[~last] = end_id, ids
+    data, places = out.tobytes(), (ends * width).tolist()
+    return [data[a:b] for a, b in zip([0, *places], places, strict=False)]
+
+
 def vocabulary_width(tokenizer_json: str, end_id: int) -> int:
     from tokenizers import Tokenizer
 
     return 2 if max(Tokenizer.from_str(tokenizer_json).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, key: str = "doc_id", text: str = "text", n_shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, key: str = "doc_id", text: str = "text", n_shards: int | None = None, special_as_text: bool = False) -> DataFrame:
     """Encode every text, append ``end_id`` and write shard files in ascending key order.
 
     Rows are dealt by ranges of (key, hash of the text), so that repeated keys, even a third of all
@@ -260,7 +307,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
     Returns the manifest: shard, path, bytes, n_docs, n_ids, first_key, last_key.
     """
     spark = docs.sparkSession
-    path = path or work_path(spark, "sstable")
+    path = qualified(spark, path or work_path(spark, "sstable"))
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()  # a vocabulary file: a few MB, whatever the corpus
     width = vocabulary_width(model, end_id)
@@ -273,30 +320,29 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        vocabulary = library_chunks(shipped.value)
+        encoder = library_encoder(shipped.value, special_as_text)
         fs, folder = open_fs(path)
         fs.create_dir(folder, recursive=True)
         name = f"{folder}/shard-{task.partitionId():06d}.sst"
         own = f"{name}.{task.taskAttemptId()}.{_os.getpid()}.tmp"
         writer = sink = first = last = None
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                ids, counts = vocabulary.encode(texts[a:b])
+            for a, b in text_slices(batch.column(1)):
+                keys = batch.column(0).slice(a, b - a).to_pylist()
+                values = packed(*encoder.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]), end_id, width)
                 if writer is None:
                     sink = fs.open_output_stream(own)
                     writer = ShardWriter(sink, width)
-                at = 0
-                for k, n in zip(keys[a:b], counts.tolist(), strict=True):
-                    first = k if writer.n_entries == 0 else first
-                    last = k
-                    writer.add(pack_key(k), np.append(ids[at : at + n], np.int32(end_id)))
-                    at += n
+                    first = keys[0]
+                for k, value in zip(keys, values, strict=True):
+                    writer.put(pack_key(k), value)
+                last = keys[-1]
         if writer is not None:
             writer.close()
             sink.close()
             fs.move(own, name)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [f"{path}/{name.rpartition('/')[2]}"], "bytes": pa.array([writer.at], pa.int64()), "n_docs": pa.array([writer.n_entries], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64()), "first_key": pa.array([first], pa.int64()), "last_key": pa.array([last], pa.int64())})
+        release()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     ranged = rows.repartitionByRange(n_shards, "k", "h").sortWithinPartitions("k", "h").select("k", "t")

@@ -33,9 +33,7 @@ def tik():
 def hf():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 def docs(spark, texts, ids=None):
@@ -114,6 +112,19 @@ def test_shards_with_odd_texts_and_lookup(spark, hf):
     assert found == want
 
 
+def test_special_tokens_by_the_plain_call_or_as_text(hf):
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = f.read()
+    texts = ["a <|endoftext|> b", "", "plain text", "<|endoftext|>", "<|endoftext|"]
+    for as_text in (False, True):
+        ids, counts = sstable.LibraryEncoder(model, as_text).encode(texts)
+        hf.encode_special_tokens = as_text
+        want = [hf.encode(t, add_special_tokens=False).ids for t in texts]
+        hf.encode_special_tokens = False
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+        assert (50256 in ids) == (not as_text)
+
+
 def test_shards_null_and_repeated_keys_and_empty(spark):
     rows = spark.createDataFrame([(None, "n"), (5, "a"), (5, "b"), (5, "a"), (-1, None)], "doc_id long, text string")
     manifest = sstable.write_shards(rows, P.path("byte_bpe_50k.json"), 2, n_shards=2)
@@ -140,3 +151,43 @@ def test_block_format(tmp_path):
         assert [len(v) for v in r.get(sstable.pack_key(3 * 777))] == [777 % 40]
         assert sum(bool(r.get(sstable.pack_key(3 * k + 1))) for k in range(2000)) == 0
         assert sum(r.bloom.may_hold(sstable.pack_key(3 * k + 1)) for k in range(2000)) < 100
+
+
+def test_replay_of_repeated_letters_and_many_pieces(tik):
+    """Runs of one letter, pairs that overlap, and batches in which a merge has many places."""
+    replay = bpe.MergeReplay(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")))
+    rng = random.Random(5)
+    pieces = [b"a" * n for n in range(1, 60)] + [("-" * rng.randint(1, 40) + "=" * rng.randint(0, 9)).encode() for _ in range(200)]
+    pieces += ["".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 25))).encode() for _ in range(5000)]
+    ids, counts = replay.encode(pieces)
+    ends = np.cumsum(counts)
+    for p, e, n in zip(pieces, ends.tolist(), counts.tolist(), strict=True):
+        want = tik._core_bpe.encode_single_piece(p)
+        assert ids[e - n : e].tolist() == want == replay.one(p)
+
+
+def test_very_long_texts_in_one_batch(spark, tik, hf):
+    """Long texts of different kinds beside short ones: ids by both libraries, and a look-up of them."""
+    rng = random.Random(1)
+    long = ["x" * 20_000, "ab " * 60_000, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40_000)), "é\n" * 30_000, "-=" * 3_000]
+    texts = [t for k, one in enumerate(long) for t in (one, f"short {k}")]
+    rows = docs(spark, texts).coalesce(1)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_documents(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert all(got[k] == tik.encode_ordinary(t) for k, t in enumerate(texts))
+    found = {r["doc_id"]: r["tokens"] for r in sstable.lookup(sstable.write_shards(rows, P.path("byte_bpe_50k.json"), 2, n_shards=2), rows).collect()}
+    assert all(found[k] == hf.encode(t, add_special_tokens=False).ids + [2] for k, t in enumerate(texts))
+
+
+def test_store_keeps_the_frequent_chunks():
+    seen = []
+
+    def encode(chunks):
+        seen.append(list(chunks))
+        return np.array([ord(c) for x in chunks for c in x], np.int32), np.array([len(x) for x in chunks])
+
+    store = ChunkVocabulary(encode, max_chunks=20)
+    for k in range(40):
+        text = "aa bb cc " + " ".join(f"n{k}x{j}" for j in range(5))
+        ids, counts = store.encode([text, "", "aa"])
+        assert "".join(map(chr, ids)) == text + "aa" and counts.tolist() == [len(text), 0, 2]
+    assert sum(" bb" in chunks for chunks in seen) == 1 and store.size <= 30
