@@ -56,6 +56,8 @@ def _quantile(share: float, p: int) -> float:
 #: Squared distance from which on a document is rejected, and the factor by which the scatter of the kept share falls short.
 CUTOFF = round(_quantile(TAIL, P), 6)
 CONSISTENCY = round(KEPT / (1 - _tail(_quantile(1 - KEPT, P), P + 2)), 6)
+#: Units in which quartiles are counted: starts need no more, and a group has at most some hundred counts.
+COARSE = 50
 #: Quartile ranges of a normal distribution in standard deviations.
 QUARTILES = 1.349
 
@@ -147,7 +149,7 @@ def _join(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """Four starts of each group: the median with no scatter but the floors; the median, the lower and the
     upper quartiles with the scatter that the quartile ranges tell."""
-    long = rows.select(*_GROUP, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(x).alias("v")) for k, x in enumerate(_X, 1)])).alias("e")).select(*_GROUP, "e.k", "e.v")
+    long = rows.select(*_GROUP, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.floor(F.col(x) / COARSE) * COARSE).alias("v")) for k, x in enumerate(_X, 1)])).alias("e")).select(*_GROUP, "e.k", "e.v")
     counts = long.groupBy(*_GROUP, "k", "v").agg(F.count("*").alias("n"))
     by = W.partitionBy(*_GROUP, "k")
     upto = counts.withColumn("upto", F.sum("n").over(by.orderBy("v"))).withColumn("total", F.sum("n").over(by))

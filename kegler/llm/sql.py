@@ -90,7 +90,7 @@ WITH w AS (
 ), cuts AS (
   SELECT lang, source, k, {", ".join(f"CAST(min(CASE WHEN upto >= {dbl(at)} * total THEN v END) AS DOUBLE) AS {name}" for name, at in (("a", 0.25), ("b", 0.5), ("c", 0.75)))} FROM (
     SELECT lang, source, k, v, sum(n) OVER (PARTITION BY lang, source, k ORDER BY v) AS upto, sum(n) OVER (PARTITION BY lang, source, k) AS total
-    FROM (SELECT lang, source, e.k AS k, e.v AS v, count(*) AS n FROM (SELECT lang, source, unnest([{", ".join(f"{{'k': {k}, 'v': x{k}}}" for k in dims)}]) AS e FROM r) GROUP BY ALL)
+    FROM (SELECT lang, source, e.k AS k, e.v AS v, count(*) AS n FROM (SELECT lang, source, unnest([{", ".join(f"{{'k': {k}, 'v': CAST(floor(x{k} / CAST({q.COARSE} AS DOUBLE)) AS BIGINT) * {q.COARSE}}}" for k in dims)}]) AS e FROM r) GROUP BY ALL)
   ) GROUP BY lang, source, k
 ), wide AS (
   SELECT lang, source, {", ".join(f"max(CASE WHEN k = {k} THEN {c} END) AS {c}{k}" for k in dims for c in "abc")} FROM cuts GROUP BY lang, source

@@ -35,7 +35,8 @@ def test_constants():
 def mcd(x):
     """Location and regularised scatter: the least determinant of what four starts come to."""
     h, floor = math.ceil(KEPT * len(x) - 1e-9), np.diag(np.square(FLOORS))
-    a, b, c = (np.sort(x, axis=0)[math.ceil(q * len(x)) - 1] for q in (0.25, 0.5, 0.75))
+    coarse = np.floor(np.round(x * 10000) / 50) * 50 / 10000
+    a, b, c = (np.sort(coarse, axis=0)[math.ceil(q * len(x)) - 1] for q in (0.25, 0.5, 0.75))
     spread, found = np.diag(((c - a) / 1.349) ** 2), []
     for m, s in ((b, spread * 0), (b, spread), (a, spread), (c, spread)):
         for _ in range(10):
